@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.plans import references
+from loomgraph.plans import catalogue, references
 
-_MODULES = [references]
+_MODULES = [references, catalogue]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
