@@ -63,11 +63,11 @@ def cq02(g):
     return g.match(("?patent", "filingDate", "?date"), ("?patent", "a", "Patent"), ("?patent", "realizesProcess", "?step"), ("?step", "label", "?step_label")).where("date >= '2021-01-01'").select("patent", "date", "step_label")
 
 
-@_q("SELECT 'group' AS level, g.s AS step, l.o AS step_label FROM r_hasSubprocess g JOIN r_label l ON l.s = g.o WHERE NOT EXISTS (SELECT 1 FROM r_realizesProcess r JOIN r_status a ON a.s = r.s AND a.o = '취하' WHERE r.o = g.o)")
+@_q("SELECT 'group' AS level, g.s AS step, l.o AS step_label FROM r_hasSubprocess g JOIN r_label l ON l.s = g.o WHERE NOT EXISTS (SELECT 1 FROM r_realizesProcess r JOIN r_filingDate a ON a.s = r.s AND a.o >= '2023-06-01' WHERE r.o = g.o)")
 def cq03(g):
-    """Steps that no withdrawn patent realises."""
+    """Steps that no recent patent realises."""
     steps = g.match(("?group", "hasSubprocess", "?s1"), ("?s1", "label", "?step_label"))
-    return not_exists(steps, g.match(("?p", "realizesProcess", "?s1"), ("?p", "status", "취하"))).select(F.lit("group").alias("level"), F.col("group").alias("step"), "step_label")
+    return not_exists(steps, g.match(("?p", "realizesProcess", "?s1"), ("?p", "filingDate", "?date")).where("date >= '2023-06-01'")).select(F.lit("group").alias("level"), F.col("group").alias("step"), "step_label")
 
 
 @_q(f"SELECT c.axis, l.o AS concept_label, substr(d.o, 1, 4) AS year, count(*) AS n FROM {_AXES} c JOIN r_label l ON l.s = c.concept JOIN {_LINKS} k ON k.o = c.concept AND k.axis = c.axis JOIN {_PAT} p ON p.p = k.s JOIN r_filingDate d ON d.s = k.s GROUP BY ALL")
@@ -236,7 +236,7 @@ _NEEDS = "(SELECT needs, count(*) AS n_profiles FROM (SELECT s, string_agg(DISTI
 _HOLDS = "(SELECT holds, count(*) AS n_disclosures FROM (SELECT s, string_agg(DISTINCT substr(o, 1, 3), ',' ORDER BY substr(o, 1, 3)) AS holds FROM r_onGround GROUP BY s) GROUP BY holds)"
 
 
-@_q(f"SELECT * FROM (SELECT needs, holds, len(list_filter(string_split(needs, ','), x -> NOT list_contains(string_split(holds, ','), x))) AS n_uncovered, n_profiles, n_disclosures FROM {_NEEDS} a, {_HOLDS} b) z WHERE n_uncovered > 0")
+@_q(f"SELECT * FROM (SELECT needs, holds, len(list_filter(string_split(needs, ','), lambda x: NOT list_contains(string_split(holds, ','), x))) AS n_uncovered, n_profiles, n_disclosures FROM {_NEEDS} a, {_HOLDS} b) z WHERE n_uncovered > 0")
 def cq32(g):
     """Needed concepts that a disclosure lacks, between classes of equal sets.
 
@@ -323,9 +323,9 @@ def cqa13(g):
     return natural(g.match(("?j", "supportedBy", "?set"), ("?set", "includesDocument", "?other")), _base_doc(g)).where("other <> base").select("j", "base", "other").distinct()
 
 
-@_q("SELECT DISTINCT b.s AS j, b.o AS set FROM r_supportedBy b JOIN r_citeForm f ON f.s = b.o AND f.o = 'paren'")
+@_q("SELECT DISTINCT b.s AS j, b.o AS set FROM r_supportedBy b JOIN r_citeForm f ON f.s = b.o AND f.o = 'unlabeled'")
 def cqa14(g):
-    return g.match(("?j", "supportedBy", "?set"), ("?set", "citeForm", "paren")).distinct()
+    return g.match(("?j", "supportedBy", "?set"), ("?set", "citeForm", "unlabeled")).distinct()
 
 
 @_q(f"SELECT DISTINCT b.s AS j, k.base, d.o AS donor FROM r_supportedBy b JOIN {_BASE} k ON k.s = b.o LEFT JOIN r_includesDocument d ON d.s = b.o AND d.o <> k.base")
@@ -400,8 +400,8 @@ def example_path(g):
     return optional(optional(base, g.match(("?patent", "status", "?status"))), g.match(("?patent", "filingDate", "?date"))).select("patent", "failure", "step", "status", "date")
 
 
-@_q("SELECT t.s AS step, count(DISTINCT k.o) AS skills, count(DISTINCT h.s) AS experts FROM (SELECT s FROM r_a WHERE o = 'Step') t LEFT JOIN r_requiresSkill k ON k.s = t.s LEFT JOIN r_hasProcessExpertise h ON h.o = t.s GROUP BY ALL HAVING count(DISTINCT k.o) < 5 OR count(DISTINCT h.s) < 60")
+@_q("SELECT t.s AS step, count(DISTINCT k.o) AS skills, count(DISTINCT h.s) AS experts FROM (SELECT s FROM r_a WHERE o = 'Step') t LEFT JOIN r_requiresSkill k ON k.s = t.s LEFT JOIN r_hasProcessExpertise h ON h.o = t.s GROUP BY ALL HAVING count(DISTINCT k.o) < 25 OR count(DISTINCT h.s) < 70")
 def example_gap(g):
     skills = g.match(("?step", "requiresSkill", "?k")).groupBy("step").agg(F.countDistinct("k").alias("skills"))
     experts = g.match(("?e", "hasProcessExpertise", "?step")).groupBy("step").agg(F.countDistinct("e").alias("experts"))
-    return optional(optional(g.match(("?step", "a", "Step")), skills), experts).fillna(0, ["skills", "experts"]).where("skills < 5 or experts < 60").select("step", "skills", "experts")
+    return optional(optional(g.match(("?step", "a", "Step")), skills), experts).fillna(0, ["skills", "experts"]).where("skills < 25 or experts < 70").select("step", "skills", "experts")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.plans import catalogue, references
+from loomgraph.plans import analysis, catalogue, references
 
-_MODULES = [references, catalogue]
+_MODULES = [references, catalogue, analysis]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
