@@ -126,17 +126,18 @@ def containers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text larger than the largest capacity is split, into full runs and a rest.
     ``lengths`` are the permitted lengths to which a finished container is cut
     down (default: the capacities). Null and empty texts hold no token and are in
-    no container. Repeated ids are packed once per row. A container holds at most
+    no container. Repeated rows of one id and text are one document, other texts under
+    the same id are documents of their own. A container holds at most
     capacity items, so gathering them is bounded.
     """
     top = max(capacities)
-    items = materialize(sized(docs, id_col, text_col, top, path), "sizes")
+    named = docs.where(F.length(text_col) > 0).select(F.struct(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("hash")).alias("tag"), F.col(text_col).alias("whole"))
+    items = materialize(sized(named, "tag", "whole", top, path).dropDuplicates(["id", "piece_no"]), "sizes")
     put = assign(items, capacities)
     if with_text:
-        texts = docs.where(F.length(text_col) > 0).select(F.col(id_col).alias("id"), F.col(text_col).alias("whole"))
-        texts = texts.dropDuplicates(["id"]) if docs.isStreaming else texts.groupBy("id").agg(F.first("whole").alias("whole"))
+        texts = named.dropDuplicates(["tag"]).withColumnRenamed("tag", "id")
         put = put.join(texts, "id").withColumn("text", F.col("whole").substr(F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))).drop("whole")
-    fields = [F.col("id").alias("doc_id"), "piece_no", "char_start", "char_end", "n_tokens", *(["text"] if with_text else [])]
+    fields = [F.col("id.doc").alias("doc_id"), "piece_no", "char_start", "char_end", "n_tokens", *(["text"] if with_text else [])]
     got = put.groupBy("container_id").agg(F.max("length").alias("planned"), F.count(F.lit(1)).alias("n_items"), F.sum("n_tokens").alias("fill"), F.sort_array(F.collect_list(F.struct(*fields))).alias("items"))
     capacity = F.col("planned")
     cut_down = F.coalesce(*(F.when(F.col("fill") <= c, c) for c in sorted(lengths or capacities)))

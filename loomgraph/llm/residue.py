@@ -48,7 +48,7 @@ SUBJECT = r"(?i)\b(?:pages?|documents?|servers?|service|viewer|browser|javascrip
 FAILURE = r"(?i)\b(?:not found|could ?n[o']t|cannot|can't|denied|forbidden|unauthori[sz]ed|errors?|exception|failed|failure|unavailable|time(?:d)? ?out|expired|blocked|disabled|switched off|turned off|went wrong|down for|refused|not (?:registered|available|supported)|does not support|exceeded|moved|no longer|required|need(?:s)? (?:to|scripts)|enable)\b|찾을 수 없|없습니다|오류|에러|만료|차단|거부|초과|삭제|비공개|점검|불가|해야 합니다|활성화|허용|정상 동작|見つかりません|エラー|無効|有効|できません|期限|拒否|メンテナンス|错误|无法"
 ACTION = r"(?i)\b(?:please|try again|reload|refresh|go back|sign in|log ?in|contact|turn on|enable|allow|check|retry|click|return to|notified|sorry)\b|하십시오|하세요|해 ?주세요|바랍니다|주십시오|다시|문의|ください|お試し|请"
 #: Lines of programs and protocols that no prose holds.
-MACHINE = r"^(?:<(?:!doctype|html|\?xml|response|error|noscript)\b.*|\{\s*\"(?:status|error|code|message)\".*\}|(?:HTTP/[\d.]+ )?[1-5]\d\d [A-Z][a-z]+(?: [A-Z]?[a-z]+)*|Traceback \(most recent call last\).*|(?:[a-z]\w*\.)+[A-Z]\w*(?:Exception|Error)\b.*|ORA-\d+:.*|upstream \w+ error.*|nginx(?:/[\d.]+)?|Apache/[\d.]+.*)$"
+MACHINE = r"^(?:<(?:!doctype|html|\?xml|response|error|noscript)\b.*|\{\s*\"(?:status|error|code|message)\".*\}|(?:HTTP/[\d.]+ )?(?:9|[1-5]\d\d) [A-Z][a-z]+(?: [A-Z]?[a-z]+)*|Traceback \(most recent call last\).*|(?:[a-z]\w*\.)+[A-Z]\w*(?:Exception|Error)\b.*|ORA-\d+:.*|upstream \w+ error.*|nginx(?:/[\d.]+)?|Apache/[\d.]+.*)$"
 #: The words dummy prose most often begins with.
 _SEEDS = frozenset(("lorem", "ipsum", "dolor", "amet"))
 #: Words that hold English prose together: 24 words in a row with at most two of them, or 14 with none, are no English.
@@ -98,8 +98,8 @@ def pages(docs: DataFrame, support: int = 3) -> DataFrame:
 
     Aligned are the texts that hold words of notices, machine lines or that speak
     of scripts. A line is a template if at least ``support`` of these texts share it; a
-    text is a page if each of its lines is a template or a notice by itself, and
-    one of them is a notice.
+    text is a page if each of its lines is a template, a notice by itself or a short
+    line that is no sentence, and a line of the first two kinds is a notice.
     """
     said = F.col("text").rlike(SUBJECT) | F.col("text").rlike("(?m)" + MACHINE)
     failed = F.col("text").rlike(FAILURE) | F.col("text").rlike("(?m)" + MACHINE)
@@ -107,8 +107,9 @@ def pages(docs: DataFrame, support: int = 3) -> DataFrame:
     machine = F.col("line").rlike(MACHINE)
     notice = machine | (F.col("line").rlike(SUBJECT) & F.col("line").rlike(FAILURE))
     alone = machine | (F.col("line").rlike(SUBJECT) & F.col("line").rlike(FAILURE) & F.col("line").rlike(ACTION) & (F.length("line") <= 250))
+    frame = (F.length("line") <= 60) & ~F.col("line").rlike(r"[.。!?;,]$|다$")  # menus, headings, buttons
     shared = lines.groupBy("line").agg(F.countDistinct("id").alias("n")).where(F.col("n") >= support).select("line", F.lit(True).alias("shared"))
-    j = lines.join(shared, "line", "left").select("id", (F.coalesce("shared", F.lit(False)) | alone).alias("fits"), notice.alias("notice"))
+    j = lines.join(shared, "line", "left").select("id", (F.coalesce("shared", F.lit(False)) | alone | frame).alias("fits"), (notice & (F.coalesce("shared", F.lit(False)) | alone)).alias("notice"))
     return j.groupBy("id").agg(F.min("fits").alias("fits"), F.max("notice").alias("notice")).where("fits and notice").select("id")
 
 
