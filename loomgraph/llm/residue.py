@@ -104,6 +104,7 @@ def pages(docs: DataFrame, support: int = 3) -> DataFrame:
     said = F.col("text").rlike(SUBJECT) | F.col("text").rlike("(?m)" + MACHINE)
     failed = F.col("text").rlike(FAILURE) | F.col("text").rlike("(?m)" + MACHINE)
     lines = docs.where(said & failed).select("id", F.explode(F.split("text", r"[\r\n]+")).alias("line")).where("trim(line) <> ''").select("id", _skeleton(F.col("line")).alias("line"))
+    lines = materialize(lines, "lines")  # a few in a hundred texts; else the word lists run over all texts twice
     machine = F.col("line").rlike(MACHINE)
     notice = machine | (F.col("line").rlike(SUBJECT) & F.col("line").rlike(FAILURE))
     alone = machine | (F.col("line").rlike(SUBJECT) & F.col("line").rlike(FAILURE) & F.col("line").rlike(ACTION) & (F.length("line") <= 250))
