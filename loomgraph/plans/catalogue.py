@@ -222,9 +222,9 @@ def cq29(g):
     return g.match(("?j", "judgesClaim", "?claim"), ("?j", "supportedBy", "?set"), ("?set", "includesDocument", "?prior_art"), ("?j", "onGround", "?ground")).groupBy("claim", "prior_art", "ground").agg(F.countDistinct("j").alias("n_judgment"))
 
 
-@_q("SELECT c.o AS claim, count(DISTINCT c.s) AS n_judgments FROM r_judgesClaim c WHERE starts_with(c.o, 'claim/102') GROUP BY ALL")
+@_q("SELECT c.o AS claim, count(DISTINCT c.s) AS n_judgments FROM r_judgesClaim c WHERE starts_with(c.o, 'claim/') GROUP BY ALL")
 def cq30(g):
-    return g.match(("?j", "judgesClaim", "?claim")).where(F.col("claim").startswith("claim/102")).groupBy("claim").agg(F.countDistinct("j").alias("n_judgments"))
+    return g.match(("?j", "judgesClaim", "?claim")).where(F.col("claim").startswith("claim/")).groupBy("claim").agg(F.countDistinct("j").alias("n_judgments"))
 
 
 @_q("SELECT r.o AS parent, count(DISTINCT r.s) AS n_dependent FROM r_refersToJudgment r GROUP BY ALL")
