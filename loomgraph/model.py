@@ -15,7 +15,10 @@ from loomgraph.operators.pattern import Graph
 
 @dataclass(frozen=True)
 class Rel:
-    """``subject`` and ``obj`` are SQL expressions; ``split`` names a column (or array) whose parts are ``x``."""
+    """``subject`` and ``obj`` are SQL expressions; ``split`` names a column (or array) whose parts are ``x``.
+
+    ``sql_where`` is the condition of the registered SQL where that is narrower than the relation.
+    """
 
     source: str
     subject: str
@@ -23,6 +26,7 @@ class Rel:
     split: str | None = None
     array: bool = False
     where: str = "true"
+    sql_where: str | None = None
 
     def spark(self) -> str:
         if not self.split:
@@ -31,10 +35,11 @@ class Rel:
         return f"SELECT {self.subject} AS s, {self.obj} AS o FROM (SELECT *, explode({parts}) AS x FROM {self.source}) WHERE {self.where}"
 
     def duck(self) -> str:
+        where = self.where if self.sql_where is None else self.sql_where
         if not self.split:
-            return f"SELECT DISTINCT {self.subject} AS s, {self.obj} AS o FROM {self.source} WHERE ({self.where}) AND {self.subject} IS NOT NULL AND {self.obj} IS NOT NULL"
+            return f"SELECT DISTINCT {self.subject} AS s, {self.obj} AS o FROM {self.source} WHERE ({where}) AND {self.subject} IS NOT NULL AND {self.obj} IS NOT NULL"
         parts = self.split if self.array else f"string_split({self.split}, '|')"
-        return f"SELECT DISTINCT {self.subject} AS s, {self.obj} AS o FROM (SELECT *, unnest({parts}) AS x FROM {self.source}) WHERE ({self.where}) AND {self.subject} IS NOT NULL AND {self.obj} IS NOT NULL"
+        return f"SELECT DISTINCT {self.subject} AS s, {self.obj} AS o FROM (SELECT *, unnest({parts}) AS x FROM {self.source}) WHERE ({where}) AND {self.subject} IS NOT NULL AND {self.obj} IS NOT NULL"
 
 
 _DOC = "'doc/' || upper(trim({}))"
@@ -57,7 +62,7 @@ RELATIONS: dict[str, list[Rel]] = {
         Rel("cited_enriched", _DOC.format("cited_doc_id"), "'Disclosure'"),
         Rel("supplier", "'expert/' || cast(s_suppkey AS string)", "'Expert'"),
         Rel("part", "'ptype/' || p_type", "'Step'"),
-        Rel("orders", "'problem/' || cast(o_orderkey AS string)", "'Problem'", where="o_orderpriority = '1-URGENT'"),
+        Rel("orders", "'problem/' || cast(o_orderkey AS string)", "'Problem'", sql_where="o_orderpriority = '1-URGENT'"),
     ],
     "label": [
         Rel("patents_meta", "patent_id", "title", where="title <> ''"),
@@ -94,11 +99,11 @@ RELATIONS: dict[str, list[Rel]] = {
     "citeForm": [Rel("notice_sections", _SET, "x", split="map_values(cite_forms)", array=True)],
     "refersToJudgment": [Rel(_SECTION_JOIN + " z", "'judgment/' || cast(later AS string)", "'judgment/' || cast(earlier AS string)")],
     "companyType": [Rel("supplier", "'expert/' || cast(s_suppkey AS string)", "'nation/' || cast(s_nationkey AS string)")],
-    "hasSkill": [Rel(_LINKS + " z", "'expert/' || cast(l_suppkey AS string)", "'brand/' || p_brand", where="p_size <= 10")],
-    "requiresSkill": [Rel("part", "'ptype/' || p_type", "'brand/' || p_brand", where="p_size <= 5")],
-    "involvesProcess": [Rel(_LINKS + " z", "'problem/' || cast(l_orderkey AS string)", "'ptype/' || p_type", where="p_size = 1")],
-    "involvesEquipment": [Rel(_LINKS + " z", "'problem/' || cast(l_orderkey AS string)", "'part/' || cast(l_partkey AS string)", where="p_size = 1")],
-    "hasProcessExpertise": [Rel(_LINKS + " z", "'expert/' || cast(l_suppkey AS string)", "'ptype/' || p_type", where="p_size = 2")],
+    "hasSkill": [Rel(_LINKS + " z", "'expert/' || cast(l_suppkey AS string)", "'brand/' || p_brand", sql_where="p_size <= 10")],
+    "requiresSkill": [Rel("part", "'ptype/' || p_type", "'brand/' || p_brand", sql_where="p_size <= 5")],
+    "involvesProcess": [Rel(_LINKS + " z", "'problem/' || cast(l_orderkey AS string)", "'ptype/' || p_type", sql_where="p_size = 1")],
+    "involvesEquipment": [Rel(_LINKS + " z", "'problem/' || cast(l_orderkey AS string)", "'part/' || cast(l_partkey AS string)", sql_where="p_size = 1")],
+    "hasProcessExpertise": [Rel(_LINKS + " z", "'expert/' || cast(l_suppkey AS string)", "'ptype/' || p_type", sql_where="p_size = 2")],
     "subjectToControl": [Rel("ipc_links", "'sub/' || ipc_4digit", "'control/' || ipc_section")],
     "controlLevel": [Rel("ipc_links", "'control/' || ipc_section", "CASE WHEN ipc_section IN ('H', 'G') THEN 'CRITICAL' ELSE 'STANDARD' END")],
     "hasJurisdiction": [Rel("ipc_links", "'control/' || ipc_section", "'KR'", where="ipc_section IN ('C', 'H')")],

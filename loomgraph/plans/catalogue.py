@@ -119,7 +119,10 @@ def cq11(g):
 
 @_q("SELECT p.s AS problem, l.o AS process_label, e.o AS equipment, x.o AS expert_label FROM (SELECT s FROM r_a WHERE o = 'Problem') t JOIN r_involvesProcess p ON p.s = t.s JOIN r_involvesEquipment e ON e.s = p.s JOIN r_label l ON l.s = p.o JOIN r_hasProcessExpertise h ON h.o = p.o JOIN r_label x ON x.s = h.s")
 def cq12(g):
-    return g.match(("?problem", "a", "Problem"), ("?problem", "involvesProcess", "?process"), ("?problem", "involvesEquipment", "?equipment"), ("?process", "label", "?process_label"), ("?expert", "hasProcessExpertise", "?process"), ("?expert", "label", "?expert_label")).select("problem", "process_label", "equipment", "expert_label")
+    """The experts of a process get their labels first, so the product is the last join and is never shuffled."""
+    where = g.match(("?problem", "a", "Problem"), ("?problem", "involvesProcess", "?process"), ("?problem", "involvesEquipment", "?equipment"))
+    experts = g.match(("?expert", "hasProcessExpertise", "?process"), ("?expert", "label", "?expert_label"), ("?process", "label", "?process_label"))
+    return natural(where, experts).select("problem", "process_label", "equipment", "expert_label")
 
 
 @_q("SELECT h.s AS step, a.o AS supplier, count(DISTINCT a.s) AS n_patents FROM (SELECT s AS pat, o AS c FROM r_realizesProcess UNION ALL SELECT i.s, 'sub/' || n.o FROM r_hasIPC i JOIN r_notation n ON n.s = i.o) u JOIN r_hasSubprocess h ON h.o = u.c JOIN r_assignedTo a ON a.s = u.pat GROUP BY ALL")
@@ -149,7 +152,9 @@ def cq16(g):
 
 @_q("SELECT p.s AS problem, l.o AS skill_label, x.o AS expert_label FROM (SELECT s FROM r_a WHERE o = 'Problem') t JOIN r_involvesProcess p ON p.s = t.s JOIN r_requiresSkill k ON k.s = p.o JOIN r_label l ON l.s = k.o JOIN r_hasProcessExpertise h ON h.o = p.o JOIN r_label x ON x.s = h.s")
 def cq17(g):
-    return g.match(("?problem", "a", "Problem"), ("?problem", "involvesProcess", "?process"), ("?process", "requiresSkill", "?skill"), ("?skill", "label", "?skill_label"), ("?expert", "hasProcessExpertise", "?process"), ("?expert", "label", "?expert_label")).select("problem", "skill_label", "expert_label")
+    """As in cq12, the product is the last join."""
+    needs = natural(g.match(("?process", "requiresSkill", "?skill"), ("?skill", "label", "?skill_label")), g.match(("?expert", "hasProcessExpertise", "?process"), ("?expert", "label", "?expert_label")))
+    return natural(g.match(("?problem", "a", "Problem"), ("?problem", "involvesProcess", "?process")), needs).select("problem", "skill_label", "expert_label")
 
 
 @_q("SELECT l.o AS skill_label, count(DISTINCT c.s) AS n_patents, min(t.o) AS example FROM r_concernsDevice c JOIN r_label t ON t.s = c.s JOIN r_label l ON l.s = c.o GROUP BY ALL")
