@@ -134,7 +134,7 @@ def cq13(g):
 
 @_q("SELECT c.o AS company_type, count(DISTINCT c.s) AS n_firms, count(DISTINCT h.s) AS n_firms_with_skills FROM r_companyType c LEFT JOIN (SELECT * FROM r_hasSkill WHERE o IN ('brand/Brand#11', 'brand/Brand#12')) h ON h.s = c.s GROUP BY ALL")
 def cq14(g):
-    owner = g.match(("?company", "hasSkill", "?skill")).where(F.col("skill").isin("brand/Brand#11", "brand/Brand#12")).select("company", F.col("company").alias("owner")).distinct()
+    owner = g.match(("?company", "hasSkill", "?skill")).select("company", F.col("company").alias("owner")).distinct()
     return optional(g.match(("?company", "companyType", "?company_type")), owner).groupBy("company_type").agg(F.countDistinct("company").alias("n_firms"), F.countDistinct("owner").alias("n_firms_with_skills"))
 
 
@@ -301,8 +301,8 @@ def cqa07(g):
 
 @_q("SELECT DISTINCT n.o AS claim_term, i.o AS document_term, r.o AS doc FROM r_hasIPC i JOIN r_notation n ON n.s = i.o LEFT JOIN (SELECT * FROM r_hasPriorArtExaminer WHERE o LIKE 'doc/EP%') r ON r.s = i.s WHERE n.o <> i.o AND n.o = 'H10B'")
 def cqa08(g):
-    right = g.match(("?x", "hasPriorArtExaminer", "?doc")).where("doc like 'doc/EP%'")
-    return optional(g.match(("?x", "hasIPC", "?document_term"), ("?document_term", "notation", "?claim_term")).where("claim_term = 'H10B'"), right).where("claim_term <> document_term").select("claim_term", "document_term", "doc").distinct()
+    right = g.match(("?x", "hasPriorArtExaminer", "?doc"))
+    return optional(g.match(("?x", "hasIPC", "?document_term"), ("?document_term", "notation", "?claim_term")), right).where("claim_term <> document_term").select("claim_term", "document_term", "doc").distinct()
 
 
 @_q("SELECT DISTINCT g.s AS j, g.o AS claim FROM r_judgesClaim g JOIN r_supportedBy b ON b.s = g.s JOIN r_citeForm f ON f.s = b.o AND f.o = 'label'")

@@ -38,3 +38,10 @@ def test_parts_of_any_size_and_orders_of_any_priority(spark, tables):
     assert run("cq17") == [("problem/1", "Brand#11", "S1"), ("problem/1", "Brand#53", "S1"), ("problem/1", "Brand#53", "S2"), ("problem/2", "Brand#53", "S1"), ("problem/2", "Brand#53", "S2")]
     assert run("cq20") == [("T1", "S1"), ("T2", "S1"), ("T2", "S2")]
     assert run("example_gap") == [("ptype/T1", 1, 1), ("ptype/T2", 1, 2), ("ptype/T3", 1, 0)]
+
+
+def test_skills_of_any_brand_and_terms_of_any_class(spark, tables):
+    run = lambda name: rows(e.queries()[name](spark, tables))
+    assert run("cq14") == [("nation/1", 3, 2)]
+    want = [(t, f"{t}1/00", d) for t in ("A01B", "H10B") for d in ("doc/EP1", "doc/US1")]
+    assert run("cqa08") == sorted([*want, ("C07D", "C07D1/00", None)], key=repr)
