@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from loomgraph.functions.keys import doc_key
+from loomgraph.operators.skew import join_unique
 
 
 def parent_marks(refs: DataFrame, parents: DataFrame, parent_table: str = "parent") -> DataFrame:
@@ -30,9 +31,10 @@ def orphans(refs: DataFrame, parents: DataFrame, parent_table: str = "parent") -
     after anything, so such a reference counts as resolved only if any parent is
     there. Parents whose time is null never resolve a reference. Repeated rows of
     (ref_table, row_id, key) come out once each as often as ``refs`` holds them.
+    References to a hot key are joined where they are, against its one mark.
     """
     marks = parent_marks(refs, parents, parent_table).select("key", "seen_from")
-    joined = refs.where("key is not null").join(marks, "key", "left")
+    joined = join_unique(refs.where("key is not null"), marks, "key", "left")
     late = F.col("seen_from") > F.col("ref_at")
     return joined.where(F.col("seen_from").isNull() | late).select("ref_table", "row_id", "key", "ref_at", F.when(F.col("seen_from").isNull(), "missing").otherwise("late").alias("status"))
 
