@@ -1,113 +1,123 @@
-"""Boolean search language compiled to a Column: ``+`` is OR, ``*`` or a blank AND, ``!`` NOT, ``"..."`` a phrase, parentheses."""
+"""Boolean search language compiled to a Column: ``+`` is OR, ``*`` or a blank AND, ``!`` NOT, ``"..."`` a phrase, parentheses.
+
+A query is put into postfix form by the strength of its operators, and a postfix
+form is evaluated over any algebra: over Columns it is the search condition, over
+truth values it tells whether the query asks for anything at all.
+"""
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-_TOKEN = re.compile(r'\s*(?:"([^"]*)"|([()+*!])|([^\s()+*!"]+))')
+#: The operators, weakest first.
+STRENGTH = {"+": 1, "*": 2, "!": 3}
+#: Fixed value: an ASCII term must begin a word.
+WORD_START = r"(?<![a-z0-9])"
+_LEXEME = re.compile(r'"(?P<phrase>[^"]*)"|(?P<op>[()+*!])|(?P<term>[^\s()+*!"]+)|(?P<bad>\S)')
 
 
 class QueryError(ValueError):
     """A query that is empty, unbalanced, or has nothing but NOT."""
 
 
-def tokens(query: str) -> list[tuple[str, str]]:
-    out, i = [], 0
-    query = query.strip()
-    while i < len(query):
-        m = _TOKEN.match(query, i)
-        if not m:
-            raise QueryError(f"cannot read {query[i:]!r}")
-        if m[1] is not None:
-            out.append(("phrase", m[1].strip()))
+Postfix = list[tuple[str, str]]
+
+
+def parse(query: str) -> Postfix:
+    """Operands ("term" | "phrase", text) and operators ("op", sign) in postfix order; AND binds tighter than OR."""
+    out: Postfix = []
+    held: list[str] = []
+    operand_due = True
+
+    def release(least: int) -> None:
+        while held and held[-1] != "(" and STRENGTH[held[-1]] >= least:
+            out.append(("op", held.pop()))
+
+    for m in _LEXEME.finditer(query):
+        kind, text = m.lastgroup, m[m.lastgroup].strip()
+        if kind == "bad":
+            raise QueryError(f"cannot read {query[m.start():]!r}")
+        if not operand_due and (kind != "op" or text in "(!"):  # side by side means AND
+            release(STRENGTH["*"])
+            held.append("*")
+            operand_due = True
+        if kind != "op":
+            if not text:
+                raise QueryError("an empty phrase")
+            out.append((kind, text))
+            operand_due = False
+        elif text in "(!":
+            held.append(text)
+        elif operand_due:
+            raise QueryError(f"{text!r} stands where a term is due")
+        elif text == ")":
+            release(0)
+            if not held:
+                raise QueryError("a parenthesis is not opened")
+            held.pop()
         else:
-            out.append((m[2], m[2]) if m[2] else ("term", m[3]))
-        i = m.end()
+            release(STRENGTH[text])
+            held.append(text)
+            operand_due = True
+    if operand_due:
+        raise QueryError("the query ends too early")
+    release(0)
+    if held:
+        raise QueryError("a parenthesis is not closed")
+    if not evaluate(out, lambda kind, text: True, {"+": lambda a, b: a and b, "*": lambda a, b: a or b, "!": lambda a: False}):
+        raise QueryError("a query needs a term that is not negated")
     return out
 
 
-def parse(query: str) -> tuple:
-    """Nested ("or" | "and" | "not", ...) and ("term" | "phrase", text); AND binds tighter than OR."""
-    ts = tokens(query)
-    at = 0
-
-    def peek() -> str | None:
-        return ts[at][0] if at < len(ts) else None
-
-    def disjunction() -> tuple:
-        nonlocal at
-        parts = [conjunction()]
-        while peek() == "+":
-            at += 1
-            parts.append(conjunction())
-        return parts[0] if len(parts) == 1 else ("or", *parts)
-
-    def conjunction() -> tuple:
-        nonlocal at
-        parts = [factor()]
-        while peek() not in (None, "+", ")"):
-            if peek() == "*":
-                at += 1
-            parts.append(factor())
-        return parts[0] if len(parts) == 1 else ("and", *parts)
-
-    def factor() -> tuple:
-        nonlocal at
-        kind = peek()
-        if kind is None:
-            raise QueryError("the query ends too early")
-        at += 1
-        if kind == "!":
-            return ("not", factor())
-        if kind == "(":
-            inner = disjunction()
-            if peek() != ")":
-                raise QueryError("a parenthesis is not closed")
-            at += 1
-            return inner
-        if kind in ("term", "phrase"):
-            if not ts[at - 1][1]:
-                raise QueryError("an empty phrase")
-            return ts[at - 1]
-        raise QueryError(f"unexpected {kind}")
+def evaluate(query: Postfix, operand: Callable, operators: dict[str, Callable]):
+    """The value of a postfix form, with ``operand`` for its leaves."""
+    stack: list = []
+    for kind, text in query:
+        if kind != "op":
+            stack.append(operand(kind, text))
+        elif text == "!":
+            stack.append(operators["!"](stack.pop()))
+        else:
+            right = stack.pop()
+            stack.append(operators[text](stack.pop(), right))
+    return stack.pop()
 
-    tree = disjunction()
-    if at < len(ts):
-        raise QueryError(f"unexpected {ts[at][1]}")
-    if not _positive(tree):
-        raise QueryError("a query needs a term that is not negated")
-    return tree
-
-
-def _positive(t: tuple) -> bool:
-    if t[0] in ("term", "phrase"):
-        return True
-    if t[0] == "not":
-        return False
-    return (all if t[0] == "or" else any)(_positive(x) for x in t[1:])
-
-
-def matches(tree: tuple, columns: list[Column]) -> Column:
-    """The condition on any of ``columns``: a phrase or a term beyond ASCII is a substring, an ASCII term begins a word."""
-    if tree[0] == "and":
-        return reduce(lambda a, b: a & b, (matches(x, columns) for x in tree[1:]))
-    if tree[0] == "or":
-        return reduce(lambda a, b: a | b, (matches(x, columns) for x in tree[1:]))
-    if tree[0] == "not":
-        return ~matches(tree[1], columns)
-    text = " ".join(unicodedata.normalize("NFKC", tree[1]).lower().split())
-    if tree[0] == "term" and text.isascii():
-        test = lambda c: F.lower(c).rlike(r"(?<![a-z0-9])" + re.escape(text))
-    else:
-        test = lambda c: F.contains(F.lower(c), F.lit(text))
-    return reduce(lambda a, b: a | b, (F.coalesce(test(c), F.lit(False)) for c in columns))
-
-
-def search(query: str, title: Column, abstract: Column, claims: Column, independent: Column, fields: str = "TI AB CL") -> Column:
-    """Field-restricted search; CL falls back to the independent claims where the full ones are missing."""
-    at = {"TI": title, "AB": abstract, "CL": F.when(F.length(F.trim(claims)) > 0, claims).otherwise(independent)}
-    return matches(parse(query), [at[f] for f in fields.split()])
+
+def matches(query: Postfix, columns: list[Column]) -> Column:
+    """The condition on any of ``columns``: a phrase or a term beyond ASCII is a substring, an ASCII term begins a word. Null columns hold nothing."""
+
+    def leaf(kind: str, text: str) -> Column:
+        said = " ".join(unicodedata.normalize("NFKC", text).lower().split())
+        word = kind == "term" and said.isascii()
+        each = [F.lower(c).rlike(WORD_START + re.escape(said)) if word else F.contains(F.lower(c), F.lit(said)) for c in columns]
+        return reduce(lambda a, b: a | b, (F.coalesce(t, F.lit(False)) for t in each))
+
+    return evaluate(query, leaf, {"+": lambda a, b: a | b, "*": lambda a, b: a & b, "!": lambda a: ~a})
+
+
+def search(docs: DataFrame, query: str, fields: dict[str, str], use: str = "TI AB CL", fallback: str | None = None, exclude: DataFrame | None = None, codes: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
+    """(id) of the documents that match ``query`` in the fields ``use`` names.
+
+    ``fields`` maps field names to columns; the field CL falls back to the column
+    ``fallback`` (independent claims) where it is blank. ``exclude`` (id) holds
+    documents that never come out, ``codes`` (id) those that a code filter lets
+    through (``codes_within``).
+    """
+    at = {k: F.col(c) for k, c in fields.items()}
+    if fallback and "CL" in at:
+        at["CL"] = F.when(F.length(F.trim(at["CL"])) > 0, at["CL"]).otherwise(F.col(fallback))
+    found = docs.where(matches(parse(query), [at[f] for f in use.split()])).select(id_col)
+    if codes is not None:
+        found = found.join(codes.select(id_col).distinct(), id_col, "left_semi")
+    return found if exclude is None else found.join(exclude.select(id_col), id_col, "left_anti")
+
+
+def codes_within(held: DataFrame, expanded: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id) of documents holding (id, code) a code whose subclass, main group or whole is among ``expanded`` (code)."""
+    keys = F.array_distinct(F.array(F.substring_index("code", " ", 1), F.substring_index("code", "/", 1), F.col("code")))
+    return held.select(id_col, F.explode(keys).alias("code")).join(expanded.select("code").distinct(), "code", "left_semi").select(id_col).distinct()
