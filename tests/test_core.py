@@ -10,6 +10,7 @@ from loomgraph.operators import boolsearch, closure, constraints, faults, metric
 from loomgraph.operators.components import components
 from loomgraph.operators.packed import parse, unpack
 from loomgraph.operators.pattern import Graph, natural, not_exists, optional, sequence, union, zero_or_one
+from loomgraph.operators.skew import hot_keys, join_unique
 from loomgraph.operators.references import orphans, patent_parents, patent_references
 
 
@@ -26,6 +27,9 @@ def test_keys_and_values(spark):
     assert got[0] == ("KR-1", True)
     assert got[1] == (None, False) and got[2] == (None, False) and got[7] == (None, False)
     assert [g[1] for g in got[3:7]] == [False, False, False, True]
+    padded = [" " * 100 + "N/A", "\t" * 80, "　" * 70 + "없음\n", "n/a or more", "UNKNOWN", " " * 90 + "x", "-" * 3]
+    df = spark.createDataFrame([(x,) for x in padded], "c string")
+    assert [r[0] for r in df.select(has_value("c")).collect()] == [False, False, False, True, False, True, True]
 
 
 @pytest.mark.parametrize(
@@ -39,6 +43,13 @@ def test_keys_and_values(spark):
         ("a / b；c、d", False, ["a", "b", "c", "d"]),
         ('["H05H 1/65", "G03F 7/68"]', True, ["H05H 1/65", "G03F 7/68"]),
         ("H01L21/51  B65G49/48 B08B 3/1(2006.01)", True, ["H01L21/51", "B65G49/48", "B08B 3/1(2006.01)"]),
+        ("주식회사 가온,A/S Kaltem", False, ["주식회사 가온", "A/S Kaltem"]),
+        ('"X Co., Ltd.",A/S Y', False, ["X Co., Ltd.", "A/S Y"]),
+        ("K Works, A/S; B, Co., Ltd. (Korea), C", False, ["K Works, A/S", "B, Co., Ltd. (Korea)", "C"]),
+        ("[A61K 8/00; B01D 1/2]", True, ["A61K 8/00", "B01D 1/2"]),
+        ('"A", [x; y]', False, ["A", "[x; y]"]),
+        ("[a]; [b [c]]", False, ["[a]", "[b [c]]"]),
+        ('["a]", "b"]', False, ["a]", "b"]),
         (None, False, []),
         ("  ", False, []),
     ],
@@ -50,6 +61,19 @@ def test_parse(text, codes, want):
 def test_parse_backtracks():
     assert parse('"open; b', False) == (['"open', "b"], ["unclosed_quote"])
     assert parse("[a; b", False) == (["[a", "b"], ["unclosed_bracket"])
+    assert parse('"a" b; c', False) == (['"a" b', "c"], ["text_after_quote"])
+
+
+_NAMES = ["Foo Works", "A/S Bar", "Baz Co., Ltd.", "Qux, Inc.", "주식회사 가온", "AB Nor", "Plain LLC", "K B.V."]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([*_NAMES, "Left|Right Lab", 'The "X" Institute', "M; N, and O"]), st.booleans()), min_size=1, max_size=6), st.sampled_from([",", ", ", ";", "; ", "|", " | ", "\n", "；", "、", " / "]))
+def test_packed_round_trip(values, sep):
+    """Values with legal forms, quoted where they hold marks, come back whatever parts them."""
+    quote = lambda v: '"' + v.replace('"', '""') + '"'
+    packed = sep.join(quote(v) if quoted or v not in _NAMES else v for v, quoted in values)
+    assert parse(packed) == ([v for v, _ in values], [])
 
 
 @settings(max_examples=80, deadline=None)
@@ -79,6 +103,16 @@ def test_orphans(spark):
     assert orphans(patent_references(edges.limit(0), sections.limit(0)), patent_parents(recs.limit(0))).count() == 0
 
 
+def test_hot_keys_stay_where_they_are(spark):
+    rows_ = spark.range(6000).select(F.when(F.col("id") < 4000, "hot").when(F.col("id") < 4010, None).otherwise(F.col("id").cast("string")).alias("k"), "id")
+    unique = spark.createDataFrame([("hot", 1), ("4500", 2), ("nobody", 3)], "k string, v int")
+    assert hot_keys(rows_, "k") == ["hot"]
+    for how in ("inner", "left"):
+        got, want = join_unique(rows_, unique, "k", how), rows_.join(unique, "k", how)
+        assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert hot_keys(rows_.limit(0), "k") == []
+
+
 # --- graph patterns
 
 
@@ -112,11 +146,22 @@ def test_boolsearch(spark):
 
     assert hits("alpha") == 2 and hits("al !metal") == 1 and hits("속막") == 1
     assert hits("alpha beam + 금속") == 2 and hits("(alpha + beta) * 금속") == 1 and hits('"soup"') == 1
-    for bad in ("", "!a", "(a", "a)", "a + !b", '""'):
+    assert hits("beta + alpha * !(metal + soup)") == 1 and hits("!!alpha soup") == 1 and hits('alpha "tal b"') == 1
+    for bad in ("", "!a", "(a", "a)", "a + !b", '""', "a + ", "* a", "()", 'a "b'):
         with pytest.raises(boolsearch.QueryError):
             boolsearch.parse(bad)
 
 
+def test_field_search(spark):
+    docs = spark.createDataFrame([("a", "gas tool", "x", "", "plasma part"), ("b", "plasma", None, "gas", None), ("c", "none", "gas", "plasma", "gas")], "doc_id string, title string, abstract string, claims string, first string")
+    find = lambda q, **kw: [r[0] for r in rows(boolsearch.search(docs, q, {"TI": "title", "AB": "abstract", "CL": "claims"}, fallback="first", **kw))]
+    assert find("plasma") == ["a", "b", "c"] and find("plasma", use="CL") == ["a", "c"] and find("gas", use="TI AB") == ["a", "c"]
+    assert find("gas", exclude=docs.where("doc_id = 'a'")) == ["b", "c"]
+    held = spark.createDataFrame([("a", "H01L 21/30"), ("b", "H01L 21/306"), ("c", "C23C 16/44")], "doc_id string, code string")
+    over = lambda *c: boolsearch.codes_within(held, spark.createDataFrame([(x,) for x in c], "code string"))
+    assert find("gas", codes=over("H01L 21/30")) == ["a"] and find("gas", codes=over("H01L 21", "C23C")) == ["a", "b", "c"]
+
+
 # --- ranking and metrics
 
 
