@@ -1,49 +1,61 @@
-"""Template residue, filler and error pages in place of content.
-
-Slots are induced by aligning what stands in the same template: markers of one
-shape ("[* 입력]", "{*}", "%*%") are put under one another, and what varies in them
-is a slot's content. Contents that fill slots of several shapes are variable names
-left in place; blanks and stand-in defaults are told by their form. Pages are
-aligned line by line: lines that repeat over the pages of notices, numbers aside,
-are templates, and a page made of nothing else is an error page.
+"""Template residue, filler and error pages in place of content, told by alignment.
+
+Slots. Every span between two runs of marks ("{{ title }}", "[INSERT TITLE HERE]",
+"%TITLE%") is aligned word by word with all others: taking one stretch of its words
+out gives a frame and a filler. A filler that stands in several frames is a variable
+name, and a frame that is mostly filled by such names is a template; each is settled
+by the other in a few rounds over the vocabulary of spans. A span whose frame is a
+template and whose filler is a name is a slot left unfilled. What stands before such
+slots are labels, and a label followed by a run of one sign is a slot left blank.
+
+Pages. Records are aligned line by line, numbers aside. A line that many records
+repeat is a template; it is open if its first or last words also begin or end many
+other lines, since then something was filled in, else closed. A record made of
+closed template lines only is a page that stands in place of content.
+
+Filler is told by repetition and by prose without function words.
+
+Word lists and known syntaxes only settle what is too rare to be aligned.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from loomgraph.operators.skew import join_unique
 from loomgraph.session import materialize
 
-#: Marker syntaxes that only templates use. Group 1 of the second list needs induced names.
+#: Marker syntaxes that only templates use; names in them are variable names from the start.
 SURE = (
-    r"\{\{[^{}\n]{1,60}\}\}",
-    r"\{%[^%\n]{1,60}%\}",
-    r"<%=?[^%\n]{1,60}%>",
-    r"[$#]\{[^{}\n]{1,60}\}",
+    r"\{\{[^{}\n]+\}\}",
+    r"\{%[^%\n]+%\}",
+    r"<%=?[^%\n]+%>",
+    r"[$#]\{[^{}\n]+\}",
     r"@@\w+@@",
     r"<<\w+>>",
-    r"<(?i:your|insert|enter) [^<>\n]{1,40}>",
-    r"\[(?:INSERT|TODO|TBD|FIXME|ENTER|FILL IN)\b[^\]\n]{0,60}\]",
+    r"<(?i:your|insert|enter) [^<>\n]+>",
+    r"\[(?:INSERT|TODO|TBD|FIXME|ENTER|FILL IN)\b[^\]\n]*\]",
 )
-INDUCED = (
-    r"\{[\p{L}_][\p{L}\p{N}_. |]{0,40}\}",
-    r"\[[\p{L}_][^\[\]\n]{0,40}\](?:을\(를\) ?여기에 입력|을 입력|를 입력)?",
-    r"(?<![\p{N}])%[A-Z][A-Z0-9_]{1,40}%",
-    r"__[A-Z][A-Z0-9_]{1,40}__",
-    r"(?<=[:：] ?)\([\p{L}][^()\n]{0,30}\)",
-    r"[○◯〇]{2,}(?: ?\([^()\n]{1,30}\))?",
-)
-#: Blanks where a value belongs.
-BLANK_SLOT = r"(?<=[:：] ?)(?:_{3,}|\.{5,}|…{2,}|[□◻▢]{2,}|\(\s{2,}\)|\[\s{2,}\])|_{5,}"
-#: What every marker above holds; a cheap first look at each text.
-_HINT = r"[{$@○◯〇□◻▢]|<[<%A-Za-z]|%[A-Z]|__|\[[^0-9\]]|[:：] ?[(…]|\.{5}"
-_WORDS_OF_FORMS = r"(?i)\b(?:insert|todo|tbd|fixme|enter|fill in|your|here|upper|lower|doc)\b|을\(를\)|여기에|입력|기재|[을를]$"
-
-#: Words of pages that are shown instead of a document, by what they speak of.
+#: Signs that stand for a value to come, wherever they are.
+DEFAULTS = r"[○◯〇]{2,}|[□◻▢]{2,}|_{5,}"
+#: Blanks after a colon where no label could be induced.
+BLANK_SLOT = r"[:：] ?(?:_{3,}|\.{5,}|…{2,}|\(\s{2,}\)|\[\s{2,}\])$"
+_D = r"[^\p{L}\p{N}\s.,;:·…、。'\"“”‘’_\-]"
+_INNER = r"\p{L}[\p{L}\p{N}]*(?:(?:[ _.|]|: )[\p{L}\p{N}]+){0,7}"
+_SPAN = rf"(?:{_D}+|__){_INNER}(?:{_D}+|__)|{_D}{{2,}} {_INNER} {_D}{{2,}}"
+_LABEL = r"\p{L}+ ?[:：] ?"
+_RUN = r"(?:([^\p{L}\p{N}\s])\1+|\(\s{2,}\)|\[\s{2,}\])"
+#: What every span and blank above holds; a cheap first look at each text.
+_HINT = rf"{_D}\p{{L}}|{_D}{{2}} \p{{L}}|__|{_LABEL}(?:[^\p{{L}}\p{{N}}\s]{{2}}|[(\[]\s)|[○◯〇□◻▢]{{2}}"
+#: A line is open if its first or last words (a third of them, at most ``ENDS``) stand in so many different lines: more than one error page has causes.
+OPEN, ENDS = 16, 4
+
+#: Words of pages that are shown instead of a document, by what they speak of; for lines too rare to be aligned.
 SUBJECT = r"(?i)\b(?:pages?|documents?|servers?|service|viewer|browser|javascript|scripts?|scripting|session|request|connection|database|site|website|url|publication|record|full text|maintenance|traffic|captcha|cookies?)\b|페이지|문헌|서버|서비스|브라우저|스크립트|세션|시스템|요청|접속|조회|주소|ページ|サーバ|ブラウザ|スクリプト|公報|文献|サービス|接続|JavaScript|服务器|页面|浏览器"
 FAILURE = r"(?i)\b(?:not found|could ?n[o']t|cannot|can't|denied|forbidden|unauthori[sz]ed|errors?|exception|failed|failure|unavailable|time(?:d)? ?out|expired|blocked|disabled|switched off|turned off|went wrong|down for|refused|not (?:registered|available|supported)|does not support|exceeded|moved|no longer|required|need(?:s)? (?:to|scripts)|enable)\b|찾을 수 없|없습니다|오류|에러|만료|차단|거부|초과|삭제|비공개|점검|불가|해야 합니다|활성화|허용|정상 동작|見つかりません|エラー|無効|有効|できません|期限|拒否|メンテナンス|错误|无法"
 ACTION = r"(?i)\b(?:please|try again|reload|refresh|go back|sign in|log ?in|contact|turn on|enable|allow|check|retry|click|return to|notified|sorry)\b|하십시오|하세요|해 ?주세요|바랍니다|주십시오|다시|문의|ください|お試し|请"
@@ -57,61 +69,115 @@ _FUNCTION = frozenset("a an the of and or to in on at by for from with which tha
 REASONS = ("slot", "page", "filler")
 
 
-def _marks(docs: DataFrame) -> DataFrame:
-    """(id, mark, sure, shape, name): every marker of a text, with what varies in its shape taken out."""
-    sure = "|".join(SURE)
-    every = "|".join((*SURE, *INDUCED, BLANK_SLOT))
-    m = docs.select("id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(every), 0))).alias("mark")).withColumn("sure", F.col("mark").rlike(f"^(?:{sure})$"))
-    inner = F.lower(F.regexp_replace(F.regexp_replace("mark", _WORDS_OF_FORMS, " "), r"[^\p{L}\p{N}]+", " "))
-    name = F.regexp_replace(F.trim(inner), " +", "_")
-    shape = F.regexp_replace(F.lower("mark"), r"[\p{L}\p{N}]+(?:[ _.][\p{L}\p{N}]+)*", "*")
-    frame = F.regexp_extract_all(F.lower("mark"), F.lit(_WORDS_OF_FORMS), 0)
-    return m.select("id", "mark", "sure", F.concat_ws(" ", shape, frame).alias("shape"), name.alias("name"))
+def _spans(docs: DataFrame) -> DataFrame:
+    """(id, label, mark, run): every span between marks, default sign and labelled run of one sign."""
+    every = rf"(?:{_LABEL})?(?:{_SPAN})|{_LABEL}{_RUN}|{DEFAULTS}"
+    m = docs.where(F.col("text").rlike(_HINT)).select("id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(every), 0))).alias("said"))
+    label = F.regexp_extract("said", rf"^({_LABEL})(?=[^\p{{L}}\p{{N}}\s])", 1)
+    m = m.withColumn("label", label).withColumn("mark", F.expr("substr(said, length(label) + 1)"))
+    return m.select("id", F.regexp_replace("label", "[ :：]", "").alias("label"), "mark", F.col("said").rlike(BLANK_SLOT).alias("blank"), F.col("mark").rlike(rf"^(?:{_RUN}|{DEFAULTS})$").alias("run"))
+
+
+def _alignments(marks: DataFrame) -> DataFrame:
+    """(mark, kind, frame, name, sure) of distinct marks: each stretch of words taken out once; kind is the marks and the sides on which words are left."""
+    ends = marks.withColumn("left", F.regexp_extract("mark", r"^([^\p{L}\p{N}]+)", 1)).withColumn("right", F.regexp_extract("mark", r"([^\p{L}\p{N}]+)$", 1))
+    inner = F.expr("substr(mark, length(left) + 1, length(mark) - length(left) - length(right))")
+    w = ends.where("left <> mark").withColumn("w", F.split(inner, r"[^\p{L}\p{N}_]+")).withColumn("n", F.size("w"))
+    cut = """flatten(transform(sequence(1, n), i -> transform(sequence(i, n), j -> struct(
+        concat_ws(' ', trim(left), concat_ws(' ', slice(w, 1, i - 1)), '*', concat_ws(' ', slice(w, j + 1, n - j)), trim(right)) AS frame,
+        concat_ws(' ', trim(left), if(i > 1, '<', ''), if(j < n, '>', ''), trim(right)) AS kind,
+        lower(array_join(slice(w, i, j - i + 1), '_')) AS name))))"""
+    out = w.select("mark", F.col("mark").rlike(f"^(?:{'|'.join(SURE)})$").alias("sure"), F.explode(F.expr(cut)).alias("x"))
+    return out.select("mark", "x.kind", "sure", "x.frame", "x.name").where(r"name rlike '\\p{L}'").distinct()
 
 
 def slots(docs: DataFrame, support: int = 3) -> DataFrame:
-    """(id, mark, reason) of markers that keep a variable name, a default or a blank.
+    """(id, mark) of spans that keep a variable name, a default or a blank.
 
-    A shape is a template if at least ``support`` different contents stand in it
-    over all documents, and a content is a variable name if it also stands in
-    another shape. Markers of a sure syntax count as they are.
+    A frame is a template if at least ``support`` names stand in it and at least
+    half of them are variable names; a name is a variable if it stands in
+    templates of at least ``support`` kinds, or in a syntax that only templates use. Counts are over the distinct spans of all documents.
     """
-    docs = docs.where(F.col("text").rlike(_HINT))
-    m = materialize(_marks(docs), "marks")  # a few rows for each text that has any
-    names = m.where("name <> '' and not name rlike '^[0-9_]+$'")
-    pairs = names.groupBy("shape", "name").agg(F.max("sure").alias("sure"))  # vocabularies of templates, not of texts
-    shapes = pairs.groupBy("shape").agg(F.countDistinct("name").alias("n")).where(F.col("n") >= support).select("shape")
-    known = pairs.groupBy("name").agg(F.countDistinct("shape").alias("n")).where("n >= 2").select("name")
-    by_name = names.where("not sure").join(known, "name", "left_semi").join(shapes, "shape", "left_semi").select("id", "mark")
-    defaults = m.where(F.col("mark").rlike("^[○◯〇]{2,}")).select("id", "mark")
-    blanks = m.where(F.col("mark").rlike(r"^(?:[_.…□◻▢]+|\(\s+\)|\[\s+\])$")).select("id", "mark")
-    return m.where("sure").select("id", "mark").unionByName(by_name).unionByName(defaults).unionByName(blanks).distinct()
+    m = materialize(_spans(docs), "spans")  # a few rows for each text that has any
+    p = materialize(_alignments(m.where("not run").select("mark").distinct()), "alignments")  # a vocabulary
+    seeds = p.where("sure").select("name").distinct()
+
+    def variables(frames: DataFrame) -> DataFrame:
+        often = p.join(frames, "frame", "left_semi").groupBy("name").agg(F.countDistinct("kind").alias("n")).where(F.col("n") >= support)
+        return often.select("name").unionByName(seeds).distinct()
+
+    def templates(names: DataFrame, settled: DataFrame | None = None) -> DataFrame:
+        known = names.withColumn("known", F.lit(1))
+        q = p.join(known, "name", "left")
+        if settled is not None:  # spans explained by another frame do not speak against this one
+            q = q.join(settled.withColumn("done", F.lit(1)), "mark", "left").where("done is null or known = 1")
+        c = q.select("frame", "name", "known").distinct().groupBy("frame").agg(F.count(F.lit(1)).alias("n"), F.count("known").alias("k"))
+        return c.where((F.col("n") >= support) & (F.col("k") >= 2) & (2 * F.col("k") >= F.col("n"))).select("frame")
+
+    wide = p.select("frame", "name").distinct().groupBy("frame").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support).select("frame")
+    names = materialize(variables(wide), "names")
+    frames = materialize(templates(names), "frames")
+    names = materialize(variables(frames), "names")
+    unfilled = lambda f: p.join(f, "frame", "left_semi").join(names, "name", "left_semi").select("mark").distinct()
+    frames = templates(names, materialize(unfilled(frames), "settled"))
+    found = materialize(unfilled(frames).unionByName(p.where("sure").select("mark")).distinct(), "unfilled")
+    held = m.join(found, "mark", "left_semi")
+    labels = held.where("label <> ''").groupBy("label").agg(F.countDistinct("id").alias("n")).where(F.col("n") >= support).select("label")
+    blanks = m.where("run").join(labels.withColumn("known", F.lit(True)), "label", "left").where(F.col("known") | F.col("blank") | F.col("mark").rlike(f"^(?:{DEFAULTS})$"))
+    return held.select("id", "mark").unionByName(blanks.select("id", "mark")).distinct()
 
 
 def _skeleton(c: Column) -> Column:
-    """A line with numbers masked and closing buttons away."""
-    return F.regexp_replace(F.regexp_replace(F.trim(c), r"\d+", "9"), r"\s*\[[\p{L} ]{1,12}\]$", "")
+    """A line with numbers masked."""
+    return F.regexp_replace(F.trim(c), r"\d+", "9")
+
+
+#: Words as the alignment of lines sees them, one a script.
+_TOKEN = r"\p{IsHan}+|\p{IsKatakana}+|\p{IsHiragana}+|[\p{L}\p{N}\p{M}&&[^\p{IsHan}\p{IsKatakana}\p{IsHiragana}]]+|[^\s\p{L}\p{N}\p{M}]"
+
+
+def line_table(docs: DataFrame) -> DataFrame:
+    """(id, line, head, tail): hashes of every line of a text, of its first and of its last words.
+
+    head and tail are null where they hold no letter or the line has no three words. Lines repeated in a text come once.
+    """
+    lines = docs.select("id", F.explode(F.array_distinct(F.transform(F.split("text", r"[\r\n]+"), _skeleton))).alias("t")).where("t <> ''")
+    w = lines.select("id", F.xxhash64("t").alias("line"), F.regexp_extract_all("t", F.lit(_TOKEN), 0).alias("w")).withColumn("k", F.least(F.ceil(F.size("w") / 3), F.lit(ENDS)).cast("int"))
+    third = lambda part, side: F.when((F.size("w") >= 3) & F.array_join(part, "").rlike(r"\p{L}"), F.xxhash64(F.lit(side), part))
+    return w.select("id", "line", third(F.slice("w", 1, F.col("k")), "head").alias("head"), third(F.slice("w", -F.col("k"), F.col("k")), "tail").alias("tail"))
 
 
 def pages(docs: DataFrame, support: int = 3) -> DataFrame:
     """(id) of texts that are a notice from first to last line.
 
-    Aligned are the texts that hold words of notices, machine lines or that speak
-    of scripts. A line is a template if at least ``support`` of these texts share it; a
-    text is a page if each of its lines is a template, a notice by itself or a short
-    line that is no sentence, and a line of the first two kinds is a notice.
+    A line is a template if at least ``support`` texts share it, and closed unless
+    its head or tail stands in ``OPEN`` different lines. A text is a page if all its
+    lines are closed templates. A text without any open line that has lines too
+    rare to be templates is a page if each sentence of these is a notice by its
+    words, and the others are templates or short lines that are no sentence. Only
+    hashes are shuffled for all texts.
     """
-    said = F.col("text").rlike(SUBJECT) | F.col("text").rlike("(?m)" + MACHINE)
-    failed = F.col("text").rlike(FAILURE) | F.col("text").rlike("(?m)" + MACHINE)
-    lines = docs.where(said & failed).select("id", F.explode(F.split("text", r"[\r\n]+")).alias("line")).where("trim(line) <> ''").select("id", _skeleton(F.col("line")).alias("line"))
-    lines = materialize(lines, "lines")  # a few in a hundred texts; else the word lists run over all texts twice
-    machine = F.col("line").rlike(MACHINE)
-    notice = machine | (F.col("line").rlike(SUBJECT) & F.col("line").rlike(FAILURE))
-    alone = machine | (F.col("line").rlike(SUBJECT) & F.col("line").rlike(FAILURE) & F.col("line").rlike(ACTION) & (F.length("line") <= 250))
-    frame = (F.length("line") <= 60) & ~F.col("line").rlike(r"[.。!?;,]$|다$")  # menus, headings, buttons
-    shared = lines.groupBy("line").agg(F.countDistinct("id").alias("n")).where(F.col("n") >= support).select("line", F.lit(True).alias("shared"))
-    j = lines.join(shared, "line", "left").select("id", (F.coalesce("shared", F.lit(False)) | alone | frame).alias("fits"), (notice & (F.coalesce("shared", F.lit(False)) | alone)).alias("notice"))
-    return j.groupBy("id").agg(F.min("fits").alias("fits"), F.max("notice").alias("notice")).where("fits and notice").select("id")
+    occ = materialize(line_table(docs), "lines")
+    lines = materialize(occ.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.first("head").alias("head"), F.first("tail").alias("tail")), "skeletons")
+    used = lambda c: lines.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias(f"{c}s")).where(F.col(f"{c}s") >= OPEN)
+    kinds = join_unique(join_unique(lines, used("head"), "head", "left"), used("tail"), "tail", "left")
+    open_ = F.col("heads").isNotNull() | F.col("tails").isNotNull()
+    kinds = materialize(kinds.select("line", (F.col("n") >= support).alias("shared"), open_.alias("open")).where("shared or open"), "kinds")
+    j = join_unique(occ.select("id", "line"), kinds, "line", "left")
+    of = j.groupBy("id").agg(F.coalesce(F.max("open"), F.lit(False)).alias("any_open"), F.min(F.coalesce("shared", F.lit(False))).alias("all_shared"))
+    closed = materialize(of.where("not any_open").select("id", "all_shared"), "closed")
+    rare = docs.join(closed.where("not all_shared").select("id"), "id", "left_semi").select("id", F.explode(F.split("text", r"[\r\n]+")).alias("t"))
+    rare = rare.select("id", _skeleton(F.col("t")).alias("t")).where("t <> ''")
+    rare = rare.withColumn("line", F.xxhash64("t")).join(kinds.where("shared").select("line", "shared"), "line", "left")
+    machine = F.col("t").rlike(MACHINE)
+    spoken = F.forall(F.filter(F.split("t", r"(?<=[.!?。…])\s*"), lambda x: F.length(x) > 0), lambda x: x.rlike(SUBJECT) | x.rlike(FAILURE) | x.rlike(ACTION))
+    notice = machine | (F.col("t").rlike(SUBJECT) & F.col("t").rlike(FAILURE) & F.col("t").rlike(ACTION) & spoken)
+    frame = ~F.col("t").rlike(r"[.。!?;,]$|다$") & (F.size(F.split("t", " ")) <= 8)  # menus, headings, buttons
+    told = rare.select("id", (F.coalesce("shared", F.lit(False)) | notice | frame).alias("fits"), notice.alias("notice")).groupBy("id").agg(F.min("fits").alias("fits"), F.max("notice").alias("notice"))
+    return closed.where("all_shared").select("id").unionByName(told.where("fits and notice").select("id"))
+
+
+_SENTENCE = re.compile(r"(?<=[.!?。])\s*|\s*\n\s*")
 
 
 def _longest(same: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -152,13 +218,16 @@ def filler_kinds(texts: list[str]) -> list[str | None]:
     prose = np.array([v.isascii() and v.isalpha() for v in low])[codes]
     one = np.array([len(set(v)) <= 1 for v in low])[codes]
     seeds = np.array([v in _SEEDS for v in low])[codes]
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
 
     def mark(which: np.ndarray, kind: str) -> None:
         for i in np.flatnonzero(which):
             out[i] = out[i] or kind
 
-    for p in range(1, 13):
+    for i, t in enumerate(texts):  # a sentence or line of any length, thrice in a row, without the numbers that patent text has
+        said = _SENTENCE.split(t)
+        if any(a == b == c and len(a) > 1 and not any(x.isdigit() for x in a) for a, b, c in zip(said, said[1:], said[2:], strict=False)):
+            out[i] = "repeated"
+    for p in range(1, 13):  # shorter phrases, also within a sentence
         if len(codes) <= p:
             break
         same = (codes[p:] == codes[:-p]) & (owner[p:] == owner[:-p])
