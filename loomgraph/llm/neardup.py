@@ -1,14 +1,20 @@
 """Near-duplicate texts with small edits, by multi-index hashing of fingerprints.
 
 A text's words (split at blanks, counted with repeats: the n-th occurrence of a
-word is a word of its own) give a fingerprint of one-bit minimum hashes, cut into
+word is a word of its own) give a fingerprint of two-bit minimum hashes, cut into
 segments (``design``). A segment of one text is looked up in the table of that
-segment together with its Hamming ball of radius 1; what the tables give is
-verified by the complete Hamming distance, then by the exact overlap of words.
+segment together with its Hamming ball of radius 1; what the tables give is verified
+by the complete Hamming distance, then by the exact overlap of words.
 
-The tables lose a pair now and then, so an exact pass stands beside them: two
-texts that overlap enough share one of the rarest words of each (prefix filter,
-``rarest``). Its candidates skip the Hamming distance; no pair is lost.
+The balls are never shuffled: of two segments that differ in one bit at most, one
+half is equal, so each segment is sent to two places, one for each half, and a ball
+is enumerated where it lies, over the other half. Every row carries a check word of
+128 one-bit minimum hashes, so that most of what meets by chance is told on the spot.
+
+``design`` takes so many segments that a pair just at the threshold is missed with a
+probability of a tenth of one in the number of texts: with at most one such pair a
+text, fewer than a tenth of a pair is expected to be lost in a whole collection of
+any size, and pairs above the threshold are missed far less often.
 
 Equal texts are one text throughout; their rows are joined back at the end.
 """
@@ -26,36 +32,44 @@ from pyspark.sql import Column, DataFrame, functions as F
 from loomgraph.functions.keys import doc_key, has_value
 from loomgraph.session import materialize
 
-_CHUNK = 500_000
-#: Words whose frequency orders the prefixes, and longs of a parity bitmap: both bear on speed only.
-_RANKED, _LONGS = 1 << 16, 4
+#: Characters of text, rows of cells and pairs that a task looks at together: bounds of memory, not of what is found.
+_CHUNK, _ROWS, _PAIRS = 500_000, 400_000, 2_000_000
+#: Bits of the check word.
+CHECK = 128
 
 
 @dataclass(frozen=True)
 class Design:
-    """Fingerprints of ``segments`` x ``width`` bits; ``reach`` is the largest complete distance kept."""
+    """Fingerprints of ``segments`` x ``width`` bits; ``reach`` and ``reach_check`` are the largest distances kept."""
 
     threshold: float
     width: int
     segments: int
     reach: int
+    reach_check: int
+
+    @property
+    def hashes(self) -> int:
+        return max(CHECK, self.width // 2 * self.segments)
 
 
-def design(n_texts: int, threshold: float = 0.85, miss: float = 0.01) -> Design:
+def design(n_texts: int, threshold: float = 0.85, miss: float | None = None) -> Design:
     """Segments as wide as log2 of the number of texts, and as many as recall needs.
 
-    At overlap t the Jaccard similarity is J >= t / (2 - t) and a one-bit minimum
-    hash differs with probability (1 - J) / 2. A segment is found if at most one of
-    its bits differs. ``miss`` is the largest probability that no segment of a pair
-    just at the threshold is found; pairs above it are missed far less often.
+    At overlap t the Jaccard similarity is J >= t / (2 - t); a minimum hash differs
+    with probability 1 - J, and then its two bits are anything. ``miss`` is the
+    largest probability that a pair just at the threshold is found in no segment
+    (default 0.1 / n_texts). Both reaches lie six standard deviations beyond the
+    mean distance of such a pair.
     """
     j = threshold / (2 - threshold)
-    q = (1 - j) / 2
-    width = max(20, min(40, math.ceil(math.log2(max(2, n_texts))) + 3))
-    hit = (1 - q) ** width + width * q * (1 - q) ** (width - 1)
-    segments = max(4, math.ceil(math.log(miss) / math.log(1 - hit)))
-    bits = width * segments
-    return Design(threshold, width, segments, math.ceil(bits * q + 5 * math.sqrt(bits * q * (1 - q))))
+    m = max(10, min(20, math.ceil((math.log2(max(2, n_texts)) + 3) / 2)))
+    same, one = j + (1 - j) / 4, (1 - j) / 2
+    hit = same**m + m * one * same ** (m - 1)
+    segments = max(4, math.ceil(math.log(miss or 0.1 / max(2, n_texts)) / math.log(1 - hit)))
+    q, n = (1 - j) / 2, m * segments
+    spread = (1 - j) * 1.5 - (1 - j) ** 2
+    return Design(threshold, 2 * m, segments, math.ceil((1 - j) * n + 6 * math.sqrt(n * spread)), math.ceil(CHECK * q + 6 * math.sqrt(CHECK * q * (1 - q))))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -71,91 +85,127 @@ def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of (word, occurrence) of all texts in a row, and the number of words of each text."""
     words = [t.split() for t in texts]
     sizes = np.array([len(w) for w in words])
-    flat = np.array([x for w in words for x in w], dtype=object)
-    if not len(flat):
+    flat = [x for w in words for x in w]
+    if not flat:
         return np.zeros(0, np.uint64), sizes
-    h = pd.util.hash_array(flat, categorize=True)
+    codes, vocab = pd.factorize(np.array(flat, dtype=object))
+    h = pd.util.hash_array(vocab, categorize=False)[codes]
     owner = np.repeat(np.arange(len(texts)), sizes)
-    nth = pd.Series(h).groupby([owner, h], sort=False).cumcount().to_numpy().astype(np.uint64)
+    by = np.lexsort((codes, owner))  # stable, so the n-th of equal words is the n-th of its run
+    fresh = np.ones(len(by), bool)
+    fresh[1:] = (codes[by][1:] != codes[by][:-1]) | (owner[by][1:] != owner[by][:-1])
+    at = np.arange(len(by))
+    nth = np.empty(len(by), np.uint64)
+    nth[by] = (at - np.maximum.accumulate(np.where(fresh, at, 0))).astype(np.uint64)
     return _mix(h + nth * np.uint64(0x9E3779B97F4A7C15)), sizes
 
 
-def fingerprints(texts: list[str], d: Design) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """(segments, sorted word hashes) of each text; texts without words must not be given."""
+def fingerprints(texts: list[str], d: Design) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(segments, check words, sorted word hashes) of each text; texts without words must not be given."""
     flat, sizes = _tokens(texts)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(int)
-    bits = d.width * d.segments
-    salts = _mix(np.arange(1, bits + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    out = np.zeros((len(texts), d.segments), np.int64)
-    for k in range(bits):
-        least = np.minimum.reduceat(_mix(flat ^ salts[k]), starts)
-        out[:, k // d.width] |= ((least >> np.uint64(7)) & np.uint64(1)).astype(np.int64) << np.int64(k % d.width)
+    short = (flat >> np.uint64(32)).astype(np.uint32)
+    odd = (_mix(np.arange(1, d.hashes + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    shift = _mix(np.arange(1, d.hashes + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)).astype(np.uint32)
+    m, segs, check = d.width // 2, np.zeros((len(texts), d.segments), np.int64), np.zeros((len(texts), 2), np.uint64)
+    for k in range(d.hashes):
+        least = _mix(np.minimum.reduceat((short ^ shift[k]) * odd[k], starts).astype(np.uint64) + np.uint64(k))
+        if k < m * d.segments:
+            segs[:, k // m] |= (least & np.uint64(3)).astype(np.int64) << np.int64(2 * (k % m))
+        if k < CHECK:
+            check[:, k // 64] |= ((least >> np.uint64(2)) & np.uint64(1)) << np.uint64(k % 64)
     signed = flat.view(np.int64)
-    return list(out), [np.sort(signed[a : a + n]) for a, n in zip(starts, sizes, strict=True)]
+    return segs, check.view(np.int64), [np.sort(signed[a : a + n]) for a, n in zip(starts, sizes, strict=True)]
 
 
 def sketch(texts: DataFrame, d: Design) -> DataFrame:
-    """(text_id, side, segs, words) of (text_id, text, side); whole texts, in Arrow batches."""
+    """(nid, side, segs, check, words) of (nid, text, side); whole texts, in Arrow batches."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             b = b[b["text"].str.strip().str.len() > 0]
             size = b["text"].str.len().cumsum() // _CHUNK  # bounds the memory of long texts
             for _, part in b.groupby(size, sort=False):
-                segs, words = fingerprints(part["text"].tolist(), d)
-                yield pd.DataFrame({"text_id": part["text_id"], "side": part["side"], "segs": segs, "words": words})
-
-    return texts.select("text_id", "side", "text").mapInPandas(run, "text_id string, side int, segs array<bigint>, words array<bigint>")
-
-
-def _distance(a: str, b: str, n: int) -> Column:
-    return sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(n)), F.lit(0))
+                segs, check, words = fingerprints(part["text"].tolist(), d)
+                yield pd.DataFrame({"nid": part["nid"], "side": part["side"], "segs": list(segs), "check": list(check), "words": words})
+
+    return texts.select("nid", "side", "text").mapInPandas(run, "nid bigint, side int, segs array<bigint>, check array<bigint>, words array<bigint>")
+
+
+def _cells(s: DataFrame, d: Design) -> DataFrame:
+    """(cell, other, nid, side, c0, c1): each segment twice, under either half; even numbers of place are first halves."""
+    h = d.width // 2
+    low, high = F.expr(f"code & {(1 << h) - 1}L"), F.expr(f"shiftright(code, {h})")
+    place = lambda half, value: F.expr(f"shiftleft(cast(2 * k + {half} as bigint), {h})").bitwiseOR(value)
+    code = s.select("nid", "side", F.col("check")[0].alias("c0"), F.col("check")[1].alias("c1"), F.posexplode("segs").alias("k", "code"))
+    both = F.explode(F.array(F.struct(place(0, low).alias("cell"), high.alias("other")), F.struct(place(1, high).alias("cell"), low.alias("other"))))
+    return code.select("nid", "side", "c0", "c1", both.alias("x")).select("x.cell", "x.other", "nid", "side", "c0", "c1")
+
+
+def _meetings(rows: pd.DataFrame, d: Design, between: bool) -> Iterator[pd.DataFrame]:
+    """(a, b) with a < b of rows, sorted by cell and other, whose segments differ by one bit at most and whose check words fit."""
+    h = d.width // 2
+    cell, other = rows["cell"].to_numpy(), rows["other"].to_numpy()
+    nid, side = rows["nid"].to_numpy(), rows["side"].to_numpy()
+    c0, c1 = rows["c0"].to_numpy().view(np.uint64), rows["c1"].to_numpy().view(np.uint64)  # signed numbers would be counted by their size
+    group = np.concatenate([[0], np.cumsum(cell[1:] != cell[:-1])]).astype(np.int64)
+    key = (group << np.int64(h)) | other
+    n = len(key)
+    end = np.searchsorted(key, key, side="right")
+    at = np.arange(n)
+    first_half = (cell >> np.int64(h)) & 1 == 0
+    looks = [(at[first_half], at[first_half] + 1, end[first_half])]  # equal segments, once
+    for bit in range(h):
+        i = at[(other >> np.int64(bit)) & 1 == 1]  # the one with the bit looks for the one without
+        want = key[i] ^ np.int64(1 << bit)
+        lo = np.searchsorted(key, want)
+        hit = (lo < n) & (key[np.minimum(lo, n - 1)] == want)
+        looks.append((i[hit], lo[hit], end[lo[hit]]))
+    for i, lo, hi in looks:
+        many = hi - lo
+        upto = np.cumsum(many)
+        done = 0
+        while done < len(i):
+            base = upto[done - 1] if done else 0
+            stop = max(done + 1, int(np.searchsorted(upto, base + _PAIRS, side="right")))
+            left, right = np.repeat(i[done:stop], many[done:stop]), np.repeat(lo[done:stop], many[done:stop])
+            right = right + np.arange(len(right)) - np.repeat(upto[done:stop] - many[done:stop] - base, many[done:stop])
+            far = np.bitwise_count(c0[left] ^ c0[right]) + np.bitwise_count(c1[left] ^ c1[right])
+            keep = far <= d.reach_check
+            if between:
+                x, y = side[left], side[right]
+                keep &= ((x & 1 > 0) & (y & 2 > 0)) | ((x & 2 > 0) & (y & 1 > 0))
+            a, b = nid[left[keep]], nid[right[keep]]
+            if len(a):
+                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+            done = stop
+
+
+def candidates(s: DataFrame, d: Design, between: bool) -> DataFrame:
+    """(a, b) once each, a < b; rows of one cell lie in one task, sorted, and are looked at cell by cell."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        size = 0
+        for b in batches:
+            held.append(b)
+            size += len(b)
+            if size >= _ROWS:
+                whole = pd.concat(held, ignore_index=True)
+                last = int(np.searchsorted(whole["cell"].to_numpy(), whole["cell"].iloc[-1]))
+                if last:
+                    yield from _meetings(whole.iloc[:last], d, between)
+                held = [whole.iloc[last:]]
+                size = len(whole) - last
+        if size:
+            yield from _meetings(pd.concat(held, ignore_index=True), d, between)
 
-def rarest(words: DataFrame, threshold: float) -> DataFrame:
-    """(text_id, side, word, at, n, bits) of (text_id, side, words): the rarest words of each text.
+    rows = _cells(s, d).repartition("cell").sortWithinPartitions("cell", "other")
+    return rows.mapInPandas(run, "a bigint, b bigint").distinct()
 
-    In one order of all words (rare before frequent), a text of n words can share
-    ceil(threshold * n) of them with another only if one of its first
-    n - ceil(threshold * n) + 1 is among the other's. ``at`` is the place in the
-    text's order, ``bits`` the parity of its words by their lowest bits.
-    """
-    often = words.select(F.explode("words").alias("word")).groupBy("word").count().where("count > 1").orderBy(F.desc("count"), "word").limit(_RANKED).collect()
-    ranks = np.arange(len(often), 0, -1)
-    known = np.array([r["word"] for r in often], np.int64)
-    order = np.argsort(known)
-    known, ranks = known[order], ranks[order]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for i, side, w in zip(b["text_id"], b["side"], b["words"], strict=True):
-                w = np.asarray(w, np.int64)
-                rank = np.zeros(len(w), np.int64)
-                if len(known):
-                    k = np.minimum(np.searchsorted(known, w), len(known) - 1)
-                    rank = np.where(known[k] == w, ranks[k], 0)
-                first = w[np.lexsort((w, rank))][: len(w) - math.ceil(threshold * len(w) - 1e-9) + 1]
-                parity = np.bincount(w & (64 * _LONGS - 1), minlength=64 * _LONGS) & 1
-                bits = np.packbits(parity.astype(np.uint8)).view(np.int64)
-                out.append(pd.DataFrame({"text_id": i, "side": side, "word": first, "at": np.arange(len(first)), "n": len(w), "bits": [bits] * len(first)}))
-            if out:
-                yield pd.concat(out)
-
-    return words.select("text_id", "side", "words").mapInPandas(run, "text_id string, side int, word bigint, at int, n int, bits array<bigint>")
-
-
-def _sharing(s: DataFrame, threshold: float, between: bool) -> DataFrame:
-    """(text_a, text_b) that share one of their rarest words and may overlap enough; complete."""
-    r = materialize(rarest(s, threshold), "rarest")
-    a = r.where("side & 1 > 0" if between else "true").select("word", F.col("text_id").alias("text_a"), F.col("at").alias("at_a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
-    b = r.where("side & 2 > 0" if between else "true").select("word", F.col("text_id").alias("text_b"), F.col("at").alias("at_b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
-    need = F.ceil(F.greatest("n_a", "n_b") * F.lit(threshold) - 1e-9)
-    # The first word that both share leaves room for the overlap; words of only one text turn at most one bit each.
-    room = (F.least("n_a", "n_b") >= need) & (F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= need)
-    turned = _distance("bits_a", "bits_b", _LONGS) <= F.col("n_a") + F.col("n_b") - 2 * need
-    met = a.join(b, "word").where("text_a <> text_b" if between else "text_a < text_b")
-    return met.where(room & turned).select("text_a", "text_b").distinct()
+def _distance(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
 
 
 def near_texts(texts: DataFrame, threshold: float = 0.85, between: bool = False) -> DataFrame:
@@ -166,29 +216,21 @@ def near_texts(texts: DataFrame, threshold: float = 0.85, between: bool = False)
     for (text_a has bit 1), else all pairs (text_a < text_b). overlap is the share
     of the words of the longer text that stand in the other too.
     """
-    texts = materialize(texts, "texts")
+    texts = materialize(texts.withColumn("nid", F.monotonically_increasing_id()), "texts")  # written once, so the numbers stay
     d = design(texts.count(), threshold)
     s = materialize(sketch(texts, d), "sketches")
-    coded = s.select("text_id", "side", F.posexplode("segs").alias("k", "code"))
-    where = lambda c: (F.col("k").cast("bigint") * F.lit(1 << d.width)) + c
-    table = coded.where("side & 1 > 0" if between else "true").select(where(F.col("code")).alias("cell"), F.col("text_id").alias("text_a"))
-    ball = F.concat(F.array(F.col("code")), F.transform(F.sequence(F.lit(0), F.lit(d.width - 1)), lambda i: F.col("code").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), i))))
-    probe = coded.where("side & 2 > 0" if between else "true").select("k", F.explode(ball).alias("code"), "text_id").select(where(F.col("code")).alias("cell"), F.col("text_id").alias("text_b"))
-    # Either text's ball holds the other's segment, so one order of ids is enough.
-    met = table.join(probe, "cell").where("text_a <> text_b" if between else "text_a < text_b").select("text_a", "text_b")
-    fp = s.select("text_id", "segs")
-    far = (
-        met.join(fp.toDF("text_a", "segs_a"), "text_a")
-        .join(fp.toDF("text_b", "segs_b"), "text_b")
-        .where(_distance("segs_a", "segs_b", d.segments) <= d.reach)
-        .select("text_a", "text_b")
-        .distinct()
-    )
-    found = far.unionByName(_sharing(s, threshold, between)).distinct()
-    w = s.select("text_id", "words")
-    both = found.join(w.toDF("text_a", "words_a"), "text_a").join(w.toDF("text_b", "words_b"), "text_b")
+    met = materialize(candidates(s, d, between), "candidates")
+    # Only texts that met anything are moved on.
+    part = materialize(s.join(met.select(F.explode(F.array("a", "b")).alias("nid")).distinct(), "nid", "left_semi").select("nid", "side", "segs", "words"), "met")
+    both = met.join(part.toDF("a", "side_a", "segs_a", "words_a"), "a").join(part.toDF("b", "side_b", "segs_b", "words_b"), "b")
     share = F.size(F.array_intersect("words_a", "words_b")) / F.greatest(F.size("words_a"), F.size("words_b"))
-    return both.select("text_a", "text_b", share.alias("overlap")).where(F.col("overlap") >= threshold)
+    near = both.where(_distance("segs_a", "segs_b") <= d.reach).select("a", "b", "side_a", "side_b", share.alias("overlap")).where(F.col("overlap") >= threshold)
+    names = texts.select("nid", "text_id")
+    named = near.join(names.toDF("a", "text_a"), "a").join(names.toDF("b", "text_b"), "b")
+    if not between:
+        return named.select(F.least("text_a", "text_b").alias("text_a"), F.greatest("text_a", "text_b").alias("text_b"), "overlap")
+    one = named.where("side_a & 1 > 0 and side_b & 2 > 0").select("text_a", "text_b", "overlap")
+    return one.unionByName(named.where("side_b & 1 > 0 and side_a & 2 > 0").select(F.col("text_b").alias("text_a"), F.col("text_a").alias("text_b"), "overlap"))
 
 
 def distinct_texts(df: DataFrame, id_col: str, fields: list[str], side: Column | None = None) -> tuple[DataFrame, DataFrame]:
