@@ -30,6 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomgraph.functions.keys import doc_key, has_value
+from loomgraph.operators.components import components
 from loomgraph.session import materialize
 
 #: Characters of text, rows of cells and pairs that a task looks at together: bounds of memory, not of what is found.
@@ -264,3 +265,38 @@ def near_records(df: DataFrame, id_col: str, key_col: str, fields: list[str], th
     full = links.join(a, F.col("text_a") == F.col("text_id_a")).join(b, (F.col("text_b") == F.col("text_id_b")) & (F.col("field_name_a") == F.col("field_name_b")))
     full = full.where("key_a <> key_b and (text_a <> text_b or id_a < id_b)")
     return full.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), F.col("field_name_a").alias("field_name"), "overlap")
+
+
+def near_classes(df: DataFrame, id_col: str, key_col: str, fields: list[str], threshold: float = 0.85) -> DataFrame:
+    """(id, class_id, class_size, n_links): every row of ``df`` with its class under the rule of ``near_records``.
+
+    Two rows are in one class if a chain of pairs of ``near_records`` leads from one
+    to the other; class_id is the least id of the class. n_links counts the pairs a
+    row stands in, field by field. No pair of rows is made: rows hang on their
+    texts, and a pair of texts is a link unless all rows of both have one key.
+    """
+    base = df.select(F.col(id_col).alias("id"), F.coalesce(doc_key(key_col), F.lit("")).alias("key"), *fields)
+    rows, texts = distinct_texts(base, "id", fields)
+    rows = materialize(rows.drop("side").join(base.select("id", "key"), "id").distinct(), "rows")
+    units = materialize(rows.groupBy("field_name", "text_id", "key").agg(F.count(F.lit(1)).alias("n")), "units")
+    whole = units.groupBy("field_name", "text_id").agg(F.sum("n").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"))
+    close = near_texts(texts, threshold).select("text_a", "text_b")
+    end = lambda x: whole.select("field_name", F.col("text_id").alias(f"text_{x}"), F.col("low").alias(f"low_{x}"), F.col("high").alias(f"high_{x}"))
+    links = close.join(end("a"), "text_a").join(end("b"), ["field_name", "text_b"])
+    links = materialize(links.where("low_a <> high_a or low_b <> high_b or low_a <> low_b").select("field_name", "text_a", "text_b"), "links")
+    node = lambda c: F.concat_ws(":", F.lit("t"), "field_name", c)
+    live = links.select(node("text_a").alias("t")).unionByName(links.select(node("text_b").alias("t"))).unionByName(whole.where("low <> high").select(node("text_id").alias("t"))).distinct()
+    member = rows.select(F.concat(F.lit("r:"), F.col("id").cast("string")).alias("a"), node("text_id").alias("t")).join(live, "t", "left_semi").select("a", F.col("t").alias("b"))
+    comp = components(member.unionByName(links.select(node("text_a").alias("a"), node("text_b").alias("b"))), "a", "b")
+    kind = dict(df.dtypes)[id_col]
+    of = comp.where("node like 'r:%'").select(F.expr(f"cast(substr(node, 3) as {kind})").alias("id"), "component")
+    first = of.groupBy("component").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    # Partners of a unit: rows of its own text and of its near texts, less those with its key.
+    both = links.unionByName(links.select("field_name", F.col("text_b").alias("text_a"), F.col("text_a").alias("text_b"))).unionByName(whole.where("low <> high").select("field_name", F.col("text_id").alias("text_a"), F.col("text_id").alias("text_b")))
+    other = whole.select("field_name", F.col("text_id").alias("text_b"), F.col("n").alias("n_b"))
+    same_key = units.select("field_name", F.col("text_id").alias("text_b"), "key", F.col("n").alias("n_k"))
+    met = units.select("field_name", F.col("text_id").alias("text_a"), "key").join(both, ["field_name", "text_a"]).join(other, ["field_name", "text_b"]).join(same_key, ["field_name", "text_b", "key"], "left")
+    partners = met.groupBy("field_name", F.col("text_a").alias("text_id"), "key").agg(F.sum(F.col("n_b") - F.coalesce("n_k", F.lit(0))).alias("n"))
+    n = rows.join(partners, ["field_name", "text_id", "key"]).groupBy("id").agg(F.sum("n").alias("n_links"))
+    got = of.join(first, "component").join(n, "id", "left")
+    return base.select("id").distinct().join(got, "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

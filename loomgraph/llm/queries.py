@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomgraph.llm import lookalike, mixing, neardup, overlap, packing, residue, segment, survivor
-from loomgraph.operators.components import components
 from loomgraph.session import materialize, table
 
 FIELDS = ["title", "abstract", "claims", "filing_date", "ipc", "cpc", "applicants"]
@@ -50,20 +49,9 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Every record with its class of near-duplicate texts and how many other texts its texts link to."""
-    base = table(spark, d, "cited_enriched").select("record_id", "abstract", "claims")
-    rows, texts = neardup.distinct_texts(base, "record_id", ["abstract", "claims"])
-    links = materialize(neardup.near_texts(texts), "links")
-    rows = materialize(rows.drop("side"), "rows")
-    # A record is a node, too: it joins the classes of its two texts.
-    member = rows.select(F.concat(F.lit("r:"), F.col("id").cast("string")).alias("a"), F.col("text_id").alias("b"))
-    comp = components(links.select(F.col("text_a").alias("a"), F.col("text_b").alias("b")).unionByName(member), "a", "b")
-    degree = links.select(F.explode(F.array("text_a", "text_b")).alias("text_id")).groupBy("text_id").count()
-    n = rows.join(degree, "text_id", "left").groupBy("id").agg(F.sum(F.coalesce("count", F.lit(0))).alias("n_links"))
-    of = comp.where("node like 'r:%'").select(F.expr("cast(substr(node, 3) as bigint)").alias("record_id"), "component")
-    first = of.groupBy("component").agg(F.min("record_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    got = of.join(first, "component").join(n.withColumnRenamed("id", "record_id"), "record_id")
-    return base.select("record_id").join(got, "record_id", "left").select("record_id", F.coalesce("class_id", "record_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    """Every record with its class under the rule of p3_found, and the number of pairs it stands in."""
+    c = neardup.near_classes(table(spark, d, "cited_enriched"), "record_id", "cited_doc_id", ["abstract", "claims"])
+    return c.withColumnRenamed("id", "record_id")
 
 
 def _overlaps(spark: SparkSession, d: str) -> DataFrame:
@@ -75,7 +63,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.leak_report(_overlaps(spark, d), table(spark, d, "claim_texts"), table(spark, d, "splits"))
+    return overlap.leak_counts(table(spark, d, "claim_texts"), table(spark, d, "splits"), ["claims_full", "first_independent"])
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:

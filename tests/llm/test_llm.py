@@ -114,6 +114,35 @@ def test_near_records_equals_brute_force(spark):
     want |= {(x, r) for x in near0 for r in (900, 901)} | {(0, 901), (900, 901), (903, 904)}
     assert got == want
     assert neardup.near_records(df.limit(0), "rid", "k", ["abstract"]).count() == 0
+    classes_of_pairs(neardup.near_classes(df, "rid", "k", ["abstract", "claims"]), neardup.near_records(df, "rid", "k", ["abstract", "claims"]), [r[0] for r in data])
+    assert neardup.near_classes(df.limit(0), "rid", "k", ["abstract"]).count() == 0
+
+
+def classes_of_pairs(classes, pairs, ids):
+    """Classes are the components of the pairs, and links their number."""
+    least, links = {i: i for i in ids}, Counter()
+
+    def root(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    for a, b, *_ in rows(pairs.select("id_a", "id_b", "field_name")):
+        links[a] += 1
+        links[b] += 1
+        x, y = root(a), root(b)
+        least[max(x, y)] = min(x, y)
+    size = Counter(root(i) for i in ids)
+    assert rows(classes.select("id", "class_id", "class_size", "n_links")) == sorted(((i, root(i), size[root(i)], links[i]) for i in ids), key=repr)
+
+
+def test_classes_with_keys_and_shared_texts(spark):
+    """Texts under one key are no pair, but another key's copy joins them all; fields do not mix."""
+    rnd = random.Random(4)
+    texts = _near_copies(6, 11)
+    data = [(i, f"k{rnd.randrange(5)}", rnd.choice(texts), rnd.choice([None, "N/A", *texts])) for i in range(80)]
+    df = spark.createDataFrame(data, "rid bigint, k string, abstract string, claims string")
+    classes_of_pairs(neardup.near_classes(df, "rid", "k", ["abstract", "claims"]), neardup.near_records(df, "rid", "k", ["abstract", "claims"]), range(80))
 
 
 def test_design_grows_with_the_collection():
@@ -133,6 +162,12 @@ def test_cross_split(spark):
     assert got == {(f"d{a}", f"d{b}") for a, b in want} | {("d0", "up")}
     assert {r.how for r in found.where("eval_id = 'up'").collect()} == {"same"}
     assert overlap.leak_report(found, df, sp).count() > 0
+    key = lambda r: (r.split, r.source, r.field_name, r.how)
+    counted = {key(r): (r.n_pairs, r.n_eval_docs, r.n_train_docs) for r in overlap.leak_counts(df, sp, ["claims_full", "first_independent"]).collect()}
+    assert counted == {key(r): (r.n_pairs, r.n_eval_docs, r.n_train_docs) for r in overlap.leak_report(found, df, sp).collect()}
+    both = spark.createDataFrame([("a", base[0], None, None), ("b", base[0], None, "s")], "doc_id string, claims_full string, first_independent string, source string")
+    twice = spark.createDataFrame([("a", "train"), ("a", "dev"), ("b", "dev")], "doc_id string, split string")
+    assert rows(overlap.leak_counts(both, twice, ["claims_full"])) == [("dev", "s", "claims_full", "same", 1, 1, 1)]
     assert overlap.cross_split(df.limit(0), sp.limit(0), ["claims_full"]).count() == 0
 
 
