@@ -29,9 +29,9 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_bundles(spark: SparkSession, d: str) -> DataFrame:
-    """The surviving rows, bundles taken whole under dependencies."""
+    """The surviving rows, bundles taken whole under functional dependencies."""
     r = table(spark, d, "cited_enriched")
-    s = materialize(survivor.survivors(r, table(spark, d, "source_trust"), BUNDLES, DEPENDENCIES), "chosen")
+    s = materialize(survivor.survivors(r, table(spark, d, "source_trust"), BUNDLES, DEPENDENCIES, functional=True), "chosen")
     return survivor.merged(r, s, BUNDLES).withColumnRenamed("group_key", "cited_doc_id")
 
 

@@ -64,6 +64,60 @@ def test_bundles_keep_dependencies(spark, trust):
             assert (a[5], b[6]) in seen and cost(a) + cost(b) == min(ok)[0]
 
 
+def test_bundles_that_share_a_bundle(spark, trust):
+    """Two dependencies over one bundle are settled together."""
+    data = [(1, "k", "kipris", True, T1, "t1", "c1", 1, None, 0, ""), (2, "k", "epo", True, T1, None, "c2", 2, "z1", 0, ""), (3, "k", None, True, T1, "t3", "c2", 3, None, 0, "")]
+    df = spark.createDataFrame(data, REC)
+    chosen = {b: r for _, b, r in rows(survivor.survivors(df, trust, {"x": ["title"], "y": ["claims"], "z": ["ipc"]}, [("title", "claims"), ("claims", "ipc")]))}
+    assert chosen["z"] == 2 and (chosen["x"], chosen["y"]) in {(1, 1), (3, 2)}
+
+
+@pytest.mark.parametrize("functional", [False, True])
+def test_joint_search_equals_brute_force(spark, trust, functional):
+    rnd = random.Random(9)
+    data = [(i, f"k{i % 25}", rnd.choice(["kipris", "epo", None]), rnd.random() < 0.7, rnd.choice([T1, T2]), rnd.choice(["t1", "t2", "t3", None]), rnd.choice(["c1", "c2", "c3", None, "N/A"]), rnd.choice([1, 2, None]), rnd.choice(["z1", "z2", None]), 1, "") for i in range(130)]
+    df = spark.createDataFrame(data, REC)
+    deps = [("title", "claims"), ("claims", "ipc"), ("n_claims", "ipc")]
+    got = {}
+    for k, b, r in rows(survivor.survivors(df, trust, {"x": ["title"], "y": ["claims", "n_claims"], "z": ["ipc"]}, deps, functional=functional)):
+        got[k, b] = r
+    rank = {"kipris": 1, "epo": 2, None: survivor.NO_RANK}
+    order = lambda r: (0 if r[3] else 1, rank[r[2]], -r[4].timestamp(), r[0])
+    cost = lambda r: survivor.LEFT_OUT if r is None else (0 if r[3] else 100) + min(rank[r[2]], 10)
+    at = {"title": 5, "claims": 6, "n_claims": 7, "ipc": 8}
+    val = lambda r, f: None if r is None or r[at[f]] == "N/A" else r[at[f]]
+    by = {}
+    for r in data:
+        by.setdefault(r[1].upper(), []).append(r)
+    for k, rs in by.items():
+        seen = {}
+        for x, y in deps:
+            pairs = [(order(r), val(r, x), val(r, y)) for r in rs if val(r, x) is not None and val(r, y) is not None]
+            if functional:
+                pairs = [min(p for p in pairs if p[1] == v) for v in {p[1] for p in pairs}]
+            seen[x, y] = {(a, b) for _, a, b in pairs}
+        options = [[None, *(r for r in rs if val(r, f) is not None)] for f in ("title", "claims", "ipc")]
+
+        def fits(t, c, z):
+            rec = {"title": t, "claims": c, "n_claims": c, "ipc": z}
+            for (x, y), s in seen.items():
+                a, b = val(rec[x], x), val(rec[y], y)
+                if a is not None and b is not None and (a, b) not in s:
+                    return False
+            return True
+
+        best = min(cost(t) + cost(c) + cost(z) for t in options[0] for c in options[1] for z in options[2] if fits(t, c, z))
+        ids = {r[0]: r for r in rs}
+        pick = [ids.get(got.get((k, b))) for b in "xyz"]
+        assert fits(*pick) and sum(map(cost, pick)) == best
+
+
+def test_merged_takes_whole_bundles(spark):
+    recs = spark.createDataFrame([(1, "t1", None, "i1"), (2, "t2", "c2", None), (3, None, "c3", "i3")], "record_id bigint, title string, claims string, ipc string")
+    chosen = spark.createDataFrame([("A", "x", 1), ("A", "y", 2), ("B", "y", 3)], "group_key string, bundle string, record_id bigint")
+    assert rows(survivor.merged(recs, chosen, {"x": ["title", "ipc"], "y": ["claims"]})) == [("A", 1, 2, "t1", "i1", "c2"), ("B", None, 3, None, None, "c3")]
+
+
 # --- p2
 
 
