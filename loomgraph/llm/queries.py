@@ -88,12 +88,26 @@ def p8_variable(spark: SparkSession, d: str) -> DataFrame:
     return packing.containers(table(spark, d, "documents"), capacities=(512, 1024, CAPACITY), with_text=False)
 
 
+def _mixture(spark: SparkSession, d: str, total: str | None) -> tuple[DataFrame, DataFrame]:
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "source_targets"), total)
+
+
 def p9_sample(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "source_targets"))[0]
+    """The largest sample in which every source has exactly its share."""
+    return _mixture(spark, d, None)[0]
 
 
 def p9_report(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "source_targets"))[1]
+    return _mixture(spark, d, None)[1]
+
+
+def p9_clamped_sample(spark: SparkSession, d: str) -> DataFrame:
+    """As many tokens as the documents hold: scarce sources are clamped at their repeats and the excess goes to the others."""
+    return _mixture(spark, d, "all")[0]
+
+
+def p9_clamped_report(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d, "all")[1]
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -105,5 +119,5 @@ def p10_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p1_bundles, p2_found, p2_canonical, p3_found, p3_groups, p4_found, p4_report, p6_found, p6_pieces, p8_containers, p8_variable, p9_sample, p9_report, p10_found, p10_reasons]
+    found = [p1_found, p1_bundles, p2_found, p2_canonical, p3_found, p3_groups, p4_found, p4_report, p6_found, p6_pieces, p8_containers, p8_variable, p9_sample, p9_report, p9_clamped_sample, p9_clamped_report, p10_found, p10_reasons]
     return {f.__name__: f for f in found}

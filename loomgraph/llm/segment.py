@@ -30,42 +30,46 @@ def _ends(rx: re.Pattern, text: str, ok: bool = True) -> np.ndarray:
     return np.array([m.end() for m in rx.finditer(text)] if ok else [], dtype=np.int64)
 
 
-def _similarity(ids: np.ndarray, at: np.ndarray, n_terms: int) -> np.ndarray:
-    """Cosine of the word counts of the blocks before and after each place in ``at``."""
+def _similarity(ids: np.ndarray, at: np.ndarray, chunk: int = 2000) -> np.ndarray:
+    """Cosine of the word counts of the blocks before and after each place in ``at``.
+
+    The product of two blocks' counts is the number of equal pairs of words, so
+    each place costs the square of a block, whatever the vocabulary.
+    """
+    wide = np.concatenate([np.full(BLOCK, -1), ids, np.full(BLOCK, -2)])
     out = np.zeros(len(at))
-    for k, t in enumerate(at):
-        a = np.bincount(ids[max(0, t - BLOCK) : t], minlength=n_terms)
-        b = np.bincount(ids[t : t + BLOCK], minlength=n_terms)
-        norm = np.sqrt(float(a @ a) * float(b @ b))
-        out[k] = float(a @ b) / norm if norm else 0.0
+    step = np.arange(BLOCK)
+    pairs = lambda x, y: ((x[:, :, None] == y[:, None, :]) & (x[:, :, None] >= 0)).sum((1, 2)).astype(float)
+    for i in range(0, len(at), chunk):
+        t = at[i : i + chunk, None]
+        a, b = wide[t + step], wide[t + BLOCK + step]
+        norm = np.sqrt(pairs(a, a) * pairs(b, b))
+        out[i : i + chunk] = np.divide(pairs(a, b), norm, out=np.zeros(len(norm)), where=norm > 0)
     return out
 
 
 def _depths(sim: np.ndarray) -> np.ndarray:
-    """How far each similarity lies below the nearest peaks on its two sides."""
-    n = len(sim)
-    out = np.zeros(n)
-    for i in range(n):
-        left = right = sim[i]
-        j = i
-        while j > 0 and sim[j - 1] >= left:
-            j -= 1
-            left = sim[j]
-        j = i
-        while j < n - 1 and sim[j + 1] >= right:
-            j += 1
-            right = sim[j]
-        out[i] = (left - sim[i]) + (right - sim[i])
-    return out
+    """How far each similarity lies below the nearest peaks on its two sides, in one pass each way."""
+
+    def peaks(x: list[float]) -> list[float]:
+        out: list[float] = []
+        for i, v in enumerate(x):
+            out.append(out[-1] if i and x[i - 1] >= v else v)
+        return out
+
+    x = sim.tolist()
+    return np.array(peaks(x)) + np.array(peaks(x[::-1])[::-1]) - 2 * sim if x else np.zeros(0)
 
 
 def cut(text: str, limit: int = 3000, overlap: int = 200) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the pieces of ``text``: ``text[start:end]`` has at most ``limit`` characters.
 
     kind names the end: claim, sentence, word, none or last. A text within the
-    limit is one piece; an empty one has none. Ends in the second half of a
-    window are preferred, claims before sentences before words; a window without
-    any end is cut at the limit, but not before a combining character.
+    limit is one piece; an empty one has none. The deepest valley among the claim
+    and sentence ends of a window's second half is cut at (of equally deep ones a
+    claim end, then the last), else of its first half, else the last word end; a
+    window without any end is cut at the limit, but not before a combining
+    character.
     """
     if limit <= 2 * overlap:
         raise ValueError("the limit must be more than twice the overlap")
@@ -81,22 +85,23 @@ def cut(text: str, limit: int = 3000, overlap: int = 200) -> list[tuple[int, int
     vocab: dict[str, int] = {}
     ids = np.array([vocab.setdefault(m.group().lower(), len(vocab)) for m in terms], dtype=np.int64)
     is_claim = np.isin(natural, claims)
-    depth = _depths(_similarity(ids, np.searchsorted(starts, natural), len(vocab) or 1)) if len(natural) else np.zeros(0)
+    depth = np.round(_depths(_similarity(ids, np.searchsorted(starts, natural))), 9) if len(natural) else np.zeros(0)
     out: list[tuple[int, int, str]] = []
     at, head = 0, 0  # first new character of the piece; its repeated characters start at head
     while n - head > limit:
         last = head + limit
         half = at + (last - at) // 2
         place, kind = 0, "none"
-        for low, want, name in ((half, is_claim, "claim"), (half, ~is_claim, "sentence"), (at + overlap, is_claim, "claim"), (at + overlap, ~is_claim, "sentence")):
-            near = np.nonzero((natural > low) & (natural <= last) & want)[0]
+        upper = np.searchsorted(natural, last, side="right")
+        for low in (half, at + overlap):
+            near = np.arange(np.searchsorted(natural, low, side="right"), upper)
             if len(near):
-                best = near[np.lexsort((-natural[near], -depth[near]))[0]]
-                place, kind = int(natural[best]), name
+                best = near[np.lexsort((-natural[near], ~is_claim[near], -depth[near]))[0]]
+                place, kind = int(natural[best]), "claim" if is_claim[best] else "sentence"
                 break
         if not place:
-            w = words[(words > at + overlap) & (words <= last)]
-            place, kind = (int(w[-1]), "word") if len(w) else (last, "none")
+            w = int(np.searchsorted(words, last, side="right")) - 1
+            place, kind = (int(words[w]), "word") if w >= 0 and words[w] > at + overlap else (last, "none")
             if kind == "none":
                 while place > at + 1 and _COMBINING.match(text[place]):
                     place -= 1

@@ -246,6 +246,36 @@ def test_cut_prefers_natural_ends():
     assert {k for *_, k in segment.cut("x" * 9000, 3000, 200)} == {"none", "last"}
 
 
+def test_depths_equal_a_walk_to_the_peaks_and_are_linear():
+    import time
+
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    for n in (0, 1, 7, 60):
+        sim = rnd.integers(0, 5, n) / 4
+        want = []
+        for i in range(n):
+            l = r = i
+            while l > 0 and sim[l - 1] >= sim[l]:
+                l -= 1
+            while r < n - 1 and sim[r + 1] >= sim[r]:
+                r += 1
+            want.append(sim[l] + sim[r] - 2 * sim[i])
+        assert segment._depths(sim) == pytest.approx(want)
+    began = time.time()
+    got = segment.cut("a. " * 40_000)
+    assert time.time() - began < 20 and max(e - s for s, e, _ in got) <= 3000
+
+
+def test_cut_at_the_deepest_valley():
+    """A change of subject at a sentence end is cut at, not a claim end within one subject."""
+    one, two = "gas inlet valve flow " * 6, "mask resist expose align " * 6
+    text = "".join(f"{one}.\n{i}. " for i in range(1, 14)) + one + ". " + (two + ". ") * 12
+    place = text.index("mask")
+    assert place in {e for _, e, _ in segment.cut(text, 3000, 100)}
+
+
 def test_pieces_cases(spark):
     df = spark.createDataFrame([("t", "1", "a b " * 1000), ("t", "1", "a b " * 1000), ("t", "2", None), ("t", "3", ""), ("t", "4", "short"), ("t", "5", "y" * 50000)], "tbl string, item_id string, text string")
     got = segment.pieces(df)
@@ -311,6 +341,15 @@ def test_mixture(spark):
     r = {x.source: x for x in report.collect()}
     assert r["big"].share_reached == pytest.approx(0.6, abs=0.01) and r["gone"].tokens_drawn == 0
     assert rows(mixing.mixture(df, t)[0]) == rows(sample)
+    full, said = mixing.mixture(df, t, "all")
+    x = {r.source: r for r in said.collect()}
+    assert x["small"].clamped and x["small"].tokens_drawn == 3 * x["small"].tokens_there and not x["gone"].clamped
+    everything = sum(r.tokens_there for r in x.values())
+    assert x["big"].clamped == (x["big"].tokens_there <= everything - x["small"].tokens_drawn)
+    assert sum(r.tokens_drawn for r in x.values()) == pytest.approx(everything, rel=0.01) or x["big"].clamped
+    assert sum(r.n_tokens * r.n_times for r in full.collect()) == sum(r.tokens_drawn for r in x.values())
+    twice = spark.createDataFrame([(1, f"words of text {i}", "big", 1.0) for i in range(9)], "doc_id bigint, text string, source string, target_share double")
+    assert len({tuple(rows(mixing.mixture(twice.repartition(n), t, "all")[0])) for n in (1, 2, 3)}) == 1 and mixing.mixture(twice, t, "all")[0].count() == 1
     assert mixing.mixture(df.limit(0), t)[0].count() == 0 and mixing.mixture(df, t.limit(0))[0].count() == 0
 
 
