@@ -86,16 +86,25 @@ def _slots(made: list[tuple[int, int, int, list[tuple[int, int]]]]) -> dict[int,
     return {s: tuple(np.array(x, dtype=np.int64) for x in zip(*rows, strict=True)) for s, rows in out.items()}
 
 
-def assign(items: DataFrame, capacities: tuple[int, ...] = (2048,), salts: int = 64) -> DataFrame:
+#: Items of one size that a task ranks.
+RANKED = 50_000
+
+
+def assign(items: DataFrame, capacities: tuple[int, ...] = (2048,), ranked: int = RANKED) -> DataFrame:
     """``items`` (id, piece_no, n_tokens, ...) with container_id and length.
 
-    Ranks within a size are made in ``salts`` parts with offsets from their counts,
-    so a size that a third of all items have is no single task. The same items
-    always get the same containers. Items of null or no size are left out.
+    Ranks within a size are made in parts of about ``ranked`` items with offsets
+    from their counts, so a size that a third of all items have is no single task
+    at any scale. The same items always get the same containers. Items of null or
+    no size are left out.
     """
     spark = items.sparkSession
-    kept = items.where("n_tokens > 0").withColumn("salt", F.pmod(F.xxhash64("id", "piece_no"), F.lit(salts)).cast("int"))
-    # Bounded by the largest capacity x salts rows, whatever the number of items.
+    kept = items.where("n_tokens > 0")
+    # Bounded by the largest capacity rows, whatever the number of items.
+    sizes = [(int(r["n_tokens"]), -(-int(r["count"]) // ranked)) for r in kept.groupBy("n_tokens").count().collect()]
+    parts = spark.createDataFrame(sizes or [(0, 1)], "n_tokens int, parts int")
+    kept = kept.join(F.broadcast(parts), "n_tokens").withColumn("salt", F.pmod(F.xxhash64("id", "piece_no"), F.col("parts")).cast("int")).drop("parts")
+    # Bounded by the largest capacity + items / ``ranked`` rows.
     counts = kept.groupBy("n_tokens", "salt").count().toPandas().sort_values(["n_tokens", "salt"])
     histogram = counts.groupby("n_tokens")["count"].sum().astype(int).to_dict()
     offsets = {(int(s), int(k)): int(o) for s, k, o in zip(counts["n_tokens"], counts["salt"], counts.groupby("n_tokens")["count"].cumsum() - counts["count"], strict=True)}

@@ -12,7 +12,7 @@ from loomgraph.session import materialize, table
 FIELDS = ["title", "abstract", "claims", "filing_date", "ipc", "cpc", "applicants"]
 BUNDLES = {"text": ["abstract", "title"], "claims": ["claims", "n_claims"], "classes": ["ipc", "cpc"], "origin": ["country", "kind"], "filing": ["filing_date"], "owners": ["applicants"]}
 DEPENDENCIES = [("ipc", "filing_date"), ("abstract", "applicants")]
-SAME_LOOK = [("citations", "citation_id", "original"), ("citations", "citation_id", "raw"), ("cited_enriched", "record_id", "claims")]
+SAME_LOOK = [("citations", "citation_id", ["original", "raw"]), ("cited_enriched", "record_id", ["claims"])]
 LIMIT, OVERLAP, CAPACITY = 3000, 200, 2048
 
 

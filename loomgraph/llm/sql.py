@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from loomgraph.functions.keys import STAND_INS
-from loomgraph.llm.lookalike import INVISIBLE, lookalike_map
+from loomgraph.llm.lookalike import INVISIBLE, SPELT, lookalike_map
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(13) || chr(160) || chr(12288)"
 
@@ -27,8 +27,11 @@ SELECT k AS cited_doc_id, field_name, record_id FROM o WHERE n = 1 AND k IN (SEL
 def _p2() -> str:
     a, b = (x.replace("'", "''") for x in lookalike_map())
     parts = " UNION ALL ".join(f"SELECT '{f}' AS field_name, {i} AS id, {f} AS t FROM {tbl} WHERE {f} IS NOT NULL" for tbl, i, f in (("citations", "citation_id", "original"), ("citations", "citation_id", "raw"), ("cited_enriched", "record_id", "claims")))
+    spelt = "t"
+    for x, y in SPELT.items():
+        spelt = f"replace({spelt}, '{x}', '{y}')"
     return f"""
-WITH r AS ({parts}), n AS (SELECT *, md5(nfc_normalize(translate(regexp_replace(t, '{INVISIBLE}', '', 'g'), '{a}', '{b}'))) AS k FROM r)
+WITH r AS ({parts}), n AS (SELECT *, md5(nfc_normalize(translate(regexp_replace({spelt}, '{INVISIBLE}', '', 'g'), '{a}', '{b}'))) AS k FROM r)
 SELECT x.field_name, x.id AS id_a, y.id AS id_b FROM n x JOIN n y ON x.field_name = y.field_name AND x.k = y.k AND x.id < y.id AND x.t <> y.t"""
 
 

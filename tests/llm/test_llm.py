@@ -131,6 +131,8 @@ def test_lookalikes(spark):
     one = {r.id: r.canonical for r in lookalike.unify(df, "id", "t").collect()}
     assert one[1] == one[2] == one[3] == "KR 10-2020" and one[14] is None and one[13] == "" and len(one) == 18
     assert lookalike.pairs(df.limit(0), "id", "t").count() == 0
+    both = spark.createDataFrame([(1, "ﬁlm Ⅳ", "ㄱ나"), (2, "film IV", "ᄀ나"), (3, "film VI", "film IV"), (4, None, "ﬁlm Ⅳ")], "id bigint, t string, u string")
+    assert rows(lookalike.pairs(both, "id", ["t", "u"])) == [("t", 1, 2), ("u", 1, 2), ("u", 3, 4)]
 
 
 # --- p3, p4
