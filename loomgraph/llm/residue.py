@@ -48,10 +48,10 @@ BLANK_SLOT = r"[:：] ?(?:_{3,}|\.{5,}|…{2,}|\(\s{2,}\)|\[\s{2,}\])$"
 _D = r"[^\p{L}\p{N}\s.,;:·…、。'\"“”‘’_\-]"
 _INNER = r"\p{L}[\p{L}\p{N}]*(?:(?:[ _.|]|: )[\p{L}\p{N}]+){0,7}"
 _SPAN = rf"(?:{_D}+|__){_INNER}(?:{_D}+|__)|{_D}{{2,}} {_INNER} {_D}{{2,}}"
-_LABEL = r"\p{L}+ ?[:：] ?"
+_LABEL = r"(?<!\p{L})\p{L}++ ?[:：] ?"
 _RUN = r"(?:([^\p{L}\p{N}\s])\1+|\(\s{2,}\)|\[\s{2,}\])"
-#: What every span and blank above holds; a cheap first look at each text.
-_HINT = rf"{_D}\p{{L}}|{_D}{{2}} \p{{L}}|__|{_LABEL}(?:[^\p{{L}}\p{{N}}\s]{{2}}|[(\[]\s)|[○◯〇□◻▢]{{2}}"
+#: A span, a default sign or a run of one sign after a colon: none begins with a letter, which is looked at first.
+_SIGN = rf"(?=[^\p{{L}}\p{{N}}\s])(?:{_SPAN}|[:：] ?{_RUN}|{DEFAULTS})"
 #: A line is open if its first or last words (a third of them, at most ``ENDS``) stand in so many different lines: more than one error page has causes.
 OPEN, ENDS = 16, 4
 
@@ -71,10 +71,11 @@ REASONS = ("slot", "page", "filler")
 
 def _spans(docs: DataFrame) -> DataFrame:
     """(id, label, mark, run): every span between marks, default sign and labelled run of one sign."""
-    every = rf"(?:{_LABEL})?(?:{_SPAN})|{_LABEL}{_RUN}|{DEFAULTS}"
-    m = docs.where(F.col("text").rlike(_HINT)).select("id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(every), 0))).alias("said"))
-    label = F.regexp_extract("said", rf"^({_LABEL})(?=[^\p{{L}}\p{{N}}\s])", 1)
-    m = m.withColumn("label", label).withColumn("mark", F.expr("substr(said, length(label) + 1)"))
+    any_ = F.regexp_extract_all("text", F.lit(_SIGN), 0)
+    few = docs.select("id", "text", any_.alias("signs")).where(F.size("signs") > 0)
+    labelled = F.regexp_extract_all("text", F.lit(rf"{_LABEL}(?:{_SPAN}|{_RUN}|{DEFAULTS})"), 0)
+    m = few.select("id", F.explode(F.array_distinct(F.concat("signs", labelled))).alias("said"))
+    m = m.withColumn("label", F.regexp_extract("said", rf"^({_LABEL}|[:：] ?)(?=[^\p{{L}}\p{{N}}\s])", 1)).withColumn("mark", F.expr("substr(said, length(label) + 1)"))
     return m.select("id", F.regexp_replace("label", "[ :：]", "").alias("label"), "mark", F.col("said").rlike(BLANK_SLOT).alias("blank"), F.col("mark").rlike(rf"^(?:{_RUN}|{DEFAULTS})$").alias("run"))
 
 
@@ -127,13 +128,8 @@ def slots(docs: DataFrame, support: int = 3) -> DataFrame:
     return held.select("id", "mark").unionByName(blanks.select("id", "mark")).distinct()
 
 
-def _skeleton(c: Column) -> Column:
-    """A line with numbers masked."""
-    return F.regexp_replace(F.trim(c), r"\d+", "9")
-
-
 #: Words as the alignment of lines sees them, one a script.
-_TOKEN = r"\p{IsHan}+|\p{IsKatakana}+|\p{IsHiragana}+|[\p{L}\p{N}\p{M}&&[^\p{IsHan}\p{IsKatakana}\p{IsHiragana}]]+|[^\s\p{L}\p{N}\p{M}]"
+_TOKEN = r"(?:\p{IsHan}++|\p{IsKatakana}++|\p{IsHiragana}++|[\p{L}\p{N}\p{M}&&[^\p{IsHan}\p{IsKatakana}\p{IsHiragana}]]++|[^\s\p{L}\p{N}\p{M}])"
 
 
 def line_table(docs: DataFrame) -> DataFrame:
@@ -141,10 +137,13 @@ def line_table(docs: DataFrame) -> DataFrame:
 
     head and tail are null where they hold no letter or the line has no three words. Lines repeated in a text come once.
     """
-    lines = docs.select("id", F.explode(F.array_distinct(F.transform(F.split("text", r"[\r\n]+"), _skeleton))).alias("t")).where("t <> ''")
-    w = lines.select("id", F.xxhash64("t").alias("line"), F.regexp_extract_all("t", F.lit(_TOKEN), 0).alias("w")).withColumn("k", F.least(F.ceil(F.size("w") / 3), F.lit(ENDS)).cast("int"))
-    third = lambda part, side: F.when((F.size("w") >= 3) & F.array_join(part, "").rlike(r"\p{L}"), F.xxhash64(F.lit(side), part))
-    return w.select("id", "line", third(F.slice("w", 1, F.col("k")), "head").alias("head"), third(F.slice("w", -F.col("k"), F.col("k")), "tail").alias("tail"))
+    lines = docs.select("id", F.explode(F.array_distinct(F.split(F.regexp_replace("text", r"\d+", "9"), r"\s*[\r\n]+\s*"))).alias("t")).select("id", F.trim("t").alias("t")).where("t <> ''")
+    # A third of the words, at most ENDS, is told by the first 3 x ENDS; the last words are the first of the line read backwards.
+    few = rf"^(?:{_TOKEN}\s*+){{1,{3 * ENDS}}}"
+    w = lambda c: F.regexp_extract_all(F.regexp_extract(c, few, 0), F.lit(_TOKEN), 0)
+    x = lines.select("id", F.xxhash64("t").alias("line"), w(F.col("t")).alias("a"), w(F.reverse("t")).alias("b")).withColumn("k", F.ceil(F.size("a") / 3).cast("int"))
+    end = lambda c, side: F.when((F.size("a") >= 3) & F.exists(F.slice(c, 1, F.col("k")), lambda y: y.rlike(r"\p{L}")), F.xxhash64(F.lit(side), F.slice(c, 1, F.col("k"))))
+    return x.select("id", "line", end("a", "head").alias("head"), end("b", "tail").alias("tail"))
 
 
 def pages(docs: DataFrame, support: int = 3) -> DataFrame:
@@ -166,8 +165,8 @@ def pages(docs: DataFrame, support: int = 3) -> DataFrame:
     j = join_unique(occ.select("id", "line"), kinds, "line", "left")
     of = j.groupBy("id").agg(F.coalesce(F.max("open"), F.lit(False)).alias("any_open"), F.min(F.coalesce("shared", F.lit(False))).alias("all_shared"))
     closed = materialize(of.where("not any_open").select("id", "all_shared"), "closed")
-    rare = docs.join(closed.where("not all_shared").select("id"), "id", "left_semi").select("id", F.explode(F.split("text", r"[\r\n]+")).alias("t"))
-    rare = rare.select("id", _skeleton(F.col("t")).alias("t")).where("t <> ''")
+    rare = docs.join(closed.where("not all_shared").select("id"), "id", "left_semi").select("id", F.explode(F.split(F.regexp_replace("text", r"\d+", "9"), r"\s*[\r\n]+\s*")).alias("t"))
+    rare = rare.select("id", F.trim("t").alias("t")).where("t <> ''")
     rare = rare.withColumn("line", F.xxhash64("t")).join(kinds.where("shared").select("line", "shared"), "line", "left")
     machine = F.col("t").rlike(MACHINE)
     spoken = F.forall(F.filter(F.split("t", r"(?<=[.!?。…])\s*"), lambda x: F.length(x) > 0), lambda x: x.rlike(SUBJECT) | x.rlike(FAILURE) | x.rlike(ACTION))
