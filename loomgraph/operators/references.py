@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from loomgraph.functions.keys import doc_key
 from loomgraph.operators.skew import join_unique
+from loomgraph.session import materialize
+
+#: A key is hot if more than one in so many references name it.
+SHARE = 1000
 
 
 def parent_marks(refs: DataFrame, parents: DataFrame, parent_table: str = "parent") -> DataFrame:
-    """(parent_table, key, seen_from): since when each referenced key has a parent.
+    """(parent_table, key, seen_from, n_refs): since when each referenced key has a parent, and how often it is referred to.
 
     ``refs``: (ref_table, row_id, key, ref_at); ``parents``: (key, at). Parent and
     child keys are put under one another in long form, tagged, and grouped by
@@ -20,7 +24,7 @@ def parent_marks(refs: DataFrame, parents: DataFrame, parent_table: str = "paren
     tagged = refs.select(F.lit(parent_table).alias("parent_table"), "key", F.lit(1).alias("child"), F.lit(None).cast("timestamp_ntz").alias("at")).unionByName(
         parents.select(F.lit(parent_table).alias("parent_table"), "key", F.lit(0).alias("child"), F.col("at").cast("timestamp_ntz").alias("at"))
     )
-    return tagged.where("key is not null").groupBy("parent_table", "key").agg(F.max("child").alias("child"), F.min("at").alias("seen_from")).where("child = 1").drop("child")
+    return tagged.where("key is not null").groupBy("parent_table", "key").agg(F.sum("child").alias("n_refs"), F.min("at").alias("seen_from")).where("n_refs > 0")
 
 
 def orphans(refs: DataFrame, parents: DataFrame, parent_table: str = "parent") -> DataFrame:
@@ -33,8 +37,10 @@ def orphans(refs: DataFrame, parents: DataFrame, parent_table: str = "parent") -
     (ref_table, row_id, key) come out once each as often as ``refs`` holds them.
     References to a hot key are joined where they are, against its one mark.
     """
-    marks = parent_marks(refs, parents, parent_table).select("key", "seen_from")
-    joined = join_unique(refs.where("key is not null"), marks, "key", "left")
+    marks = materialize(parent_marks(refs, parents, parent_table), "marks")  # one row a key; its counts tell the hot keys
+    total = marks.agg(F.coalesce(F.sum("n_refs"), F.lit(0))).first()[0]
+    hot = [r.key for r in marks.where((F.col("n_refs") > 1000) & (F.col("n_refs") * SHARE > total)).select("key").collect()]  # fewer than SHARE
+    joined = join_unique(refs.where("key is not null"), marks.select("key", "seen_from"), "key", "left", SHARE, hot)
     late = F.col("seen_from") > F.col("ref_at")
     return joined.where(F.col("seen_from").isNull() | late).select("ref_table", "row_id", "key", "ref_at", F.when(F.col("seen_from").isNull(), "missing").otherwise("late").alias("status"))
 

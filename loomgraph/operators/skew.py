@@ -16,13 +16,14 @@ def hot_keys(rows: DataFrame, key: str, share: int = 1000) -> list:
     return [r[0] for r in hot.select(key).collect()]
 
 
-def join_unique(rows: DataFrame, unique: DataFrame, key: str, how: str = "inner", share: int = 1000) -> DataFrame:
+def join_unique(rows: DataFrame, unique: DataFrame, key: str, how: str = "inner", share: int = 1000, hot: list | None = None) -> DataFrame:
     """``rows`` joined to ``unique``, which has at most one row a key, on ``key`` (inner or left).
 
     Rows of hot keys meet the fewer than ``share`` rows of ``unique`` for them in a
     broadcast join and are not moved; all others go through an ordinary join.
+    ``hot`` names the hot keys where they are known already.
     """
-    hot = hot_keys(rows, key, share)
+    hot = hot_keys(rows, key, share) if hot is None else hot
     if not hot:
         return rows.join(unique, key, how)
     is_hot: Column = F.coalesce(F.col(key).isin(*hot), F.lit(False))
