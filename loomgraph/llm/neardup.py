@@ -134,20 +134,20 @@ def sketch(texts: DataFrame, d: Design) -> DataFrame:
 
 
 def _cells(s: DataFrame, d: Design) -> DataFrame:
-    """(cell, other, nid, side, c0, c1): each segment twice, under either half; even numbers of place are first halves."""
+    """(cell, other, nid, side, n, c0, c1): each segment twice, under either half; even numbers of place are first halves."""
     h = d.width // 2
     low, high = F.expr(f"code & {(1 << h) - 1}L"), F.expr(f"shiftright(code, {h})")
     place = lambda half, value: F.expr(f"shiftleft(cast(2 * k + {half} as bigint), {h})").bitwiseOR(value)
-    code = s.select("nid", "side", F.col("check")[0].alias("c0"), F.col("check")[1].alias("c1"), F.posexplode("segs").alias("k", "code"))
+    code = s.select("nid", "side", F.size("words").alias("n"), F.col("check")[0].alias("c0"), F.col("check")[1].alias("c1"), F.posexplode("segs").alias("k", "code"))
     both = F.explode(F.array(F.struct(place(0, low).alias("cell"), high.alias("other")), F.struct(place(1, high).alias("cell"), low.alias("other"))))
-    return code.select("nid", "side", "c0", "c1", both.alias("x")).select("x.cell", "x.other", "nid", "side", "c0", "c1")
+    return code.select("nid", "side", "n", "c0", "c1", both.alias("x")).select("x.cell", "x.other", "nid", "side", "n", "c0", "c1")
 
 
 def _meetings(rows: pd.DataFrame, d: Design, between: bool) -> Iterator[pd.DataFrame]:
-    """(a, b) with a < b of rows, sorted by cell and other, whose segments differ by one bit at most and whose check words fit."""
+    """(a, b) with a < b of rows, sorted by cell and other, whose segments differ by one bit at most and whose check words and lengths fit."""
     h = d.width // 2
     cell, other = rows["cell"].to_numpy(), rows["other"].to_numpy()
-    nid, side = rows["nid"].to_numpy(), rows["side"].to_numpy()
+    nid, side, size = rows["nid"].to_numpy(), rows["side"].to_numpy(), rows["n"].to_numpy()
     c0, c1 = rows["c0"].to_numpy().view(np.uint64), rows["c1"].to_numpy().view(np.uint64)  # signed numbers would be counted by their size
     group = np.concatenate([[0], np.cumsum(cell[1:] != cell[:-1])]).astype(np.int64)
     key = (group << np.int64(h)) | other
@@ -172,7 +172,8 @@ def _meetings(rows: pd.DataFrame, d: Design, between: bool) -> Iterator[pd.DataF
             left, right = np.repeat(i[done:stop], many[done:stop]), np.repeat(lo[done:stop], many[done:stop])
             right = right + np.arange(len(right)) - np.repeat(upto[done:stop] - many[done:stop] - base, many[done:stop])
             far = np.bitwise_count(c0[left] ^ c0[right]) + np.bitwise_count(c1[left] ^ c1[right])
-            keep = far <= d.reach_check
+            x, y = size[left], size[right]  # the longer text shares at most all words of the shorter
+            keep = (far <= d.reach_check) & (np.minimum(x, y) >= d.threshold * np.maximum(x, y) - 1e-9)
             if between:
                 x, y = side[left], side[right]
                 keep &= ((x & 1 > 0) & (y & 2 > 0)) | ((x & 2 > 0) & (y & 1 > 0))
