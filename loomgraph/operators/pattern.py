@@ -19,8 +19,9 @@ Triple = tuple[str, str, str]
 class Graph:
     """Predicate relations by name, built when first used."""
 
-    def __init__(self, spark: SparkSession, relations: dict[str, Callable[[], DataFrame]]):
-        self.spark, self._make, self._made = spark, dict(relations), {}
+    def __init__(self, spark: SparkSession, relations: dict[str, Callable[[], DataFrame] | None], part: Callable[[str], Callable[[], DataFrame] | None] | None = None):
+        """``relations`` make the (s, o) of a predicate; ``part`` makes those of any name, parts of a predicate included, as sets."""
+        self.spark, self._make, self._made, self._part = spark, dict(relations), {}, part
 
     @classmethod
     def of_triples(cls, triples: DataFrame) -> Graph:
@@ -31,7 +32,10 @@ class Graph:
 
     def predicate(self, name: str) -> DataFrame:
         if name not in self._made:
-            if name in self._make:
+            made = self._part(name) if self._part else None
+            if made is not None:
+                self._made[name] = made()
+            elif name in self._make:
                 self._made[name] = self._make[name]().where("s is not null and o is not null").select("s", "o").distinct()
             else:
                 self._made[name] = self._triples.where(F.col("p") == name).select("s", "o")
@@ -62,7 +66,9 @@ class Graph:
         parts = [self.scan(t, predicates) for t in triples]
         out = values if values is not None else parts.pop(0)
         while parts:
-            k = next((i for i, p in enumerate(parts) if set(p.columns) & set(out.columns)), 0)
+            k = next((i for i, p in enumerate(parts) if set(p.columns) & set(out.columns)), None)
+            if k is None:
+                raise ValueError(f"the patterns {triples} fall apart: join them by natural() if a product is meant")
             out = natural(out, parts.pop(k))
         return out
 

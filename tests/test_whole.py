@@ -5,15 +5,16 @@ import pytest
 import __spark_entry__ as e
 
 TABLES = {
-    "patents_meta": ("patent_id string, process_family string, value_chain string, applicant_en string, title string", []),
+    "patents_meta": ("patent_id string, process_family string, value_chain string, applicant_en string, title string, rejection_legal_bases string, primary_ipc_section string", []),
     "ipc_links": ("patent_id string, ipc_4digit string, ipc_section string, ipc_code string", [("p1", "A01B", "A", "A01B1/00"), ("p1", "H10B", "H", "H10B1/00"), ("p2", "C07D", "C", "C07D1/00")]),
+    "claim_texts": ("doc_id string, source string, claims_full string", []),
     "prior_art_edges": ("target_patent_id string, cited_doc_id string, is_npl boolean, source_type string", [("p1", "US1", False, "examiner"), ("p1", "EP1", False, "examiner")]),
     "notice_sections": ("section_id bigint", []),
     "cited_enriched": ("cited_doc_id string", []),
     "supplier": ("s_suppkey bigint, s_name string, s_nationkey bigint", [(1, "S1", 1), (2, "S2", 1), (3, "S3", 1)]),
-    "part": ("p_partkey bigint, p_type string, p_brand string, p_size int", [(1, "T1", "Brand#11", 1), (2, "T2", "Brand#53", 30), (3, "T3", "Brand#44", 50)]),
+    "part": ("p_partkey bigint, p_name string, p_type string, p_brand string, p_size int", [(1, "P1", "T1", "Brand#11", 1), (2, "P2", "T2", "Brand#53", 30), (3, "P3", "T3", "Brand#44", 50)]),
     "orders": ("o_orderkey bigint, o_orderpriority string", [(1, "1-URGENT"), (2, "5-LOW")]),
-    "lineitem": ("l_orderkey bigint, l_partkey bigint, l_suppkey bigint", [(1, 1, 1), (1, 2, 1), (2, 2, 2), (2, 2, 2)]),
+    "lineitem": ("l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_quantity double", [(1, 1, 1, 5.0), (1, 2, 1, 9.0), (2, 2, 2, 1.0), (2, 2, 2, 1.0)]),
     "nation": ("n_nationkey bigint, n_name string", [(1, "N1")]),
 }
 
@@ -33,11 +34,11 @@ def rows(df):
 def test_parts_of_any_size_and_orders_of_any_priority(spark, tables):
     run = lambda name: rows(e.queries()[name](spark, tables))
     assert run("cq11") == [("T1", "Brand#11", "S1"), ("T2", "Brand#53", "S1"), ("T2", "Brand#53", "S2")]
-    first = [("problem/1", t, f"part/{p}", x) for t, x in (("T1", "S1"), ("T2", "S1"), ("T2", "S2")) for p in (1, 2)]
-    assert run("cq12") == sorted(first + [("problem/2", "T2", "part/2", x) for x in ("S1", "S2")])
-    assert run("cq17") == [("problem/1", "Brand#11", "S1"), ("problem/1", "Brand#53", "S1"), ("problem/1", "Brand#53", "S2"), ("problem/2", "Brand#53", "S1"), ("problem/2", "Brand#53", "S2")]
-    assert run("cq20") == [("T1", "S1"), ("T2", "S1"), ("T2", "S2")]
-    assert run("example_gap") == [("ptype/T1", 1, 1), ("ptype/T2", 1, 2), ("ptype/T3", 1, 0)]
+    # An expert's expertise is what it supplies most: T2 and size 30 for both.
+    assert run("cq12") == sorted([("order 1", "T2", p, x) for p in ("P1", "P2") for x in ("S1", "S2")] + [("order 2", "T2", "P2", x) for x in ("S1", "S2")])
+    assert run("cq17") == [(f"order {o}", "size 30", x) for o in (1, 2) for x in ("S1", "S2")]
+    assert run("cq20") == [("T2", "S1"), ("T2", "S1"), ("T2", "S2"), ("T2", "S2")]  # a type is a step and a process
+    assert run("example_gap") == [("ptype/T1", 1, 0), ("ptype/T2", 1, 2), ("ptype/T3", 1, 0)]
 
 
 def test_skills_of_any_brand_and_terms_of_any_class(spark, tables):
