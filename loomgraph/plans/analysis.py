@@ -25,7 +25,7 @@ def _q(sql: str | None = None):
 
 
 _TERMS = """flatten([regexp_extract_all(t, '[a-z0-9]{2,}'), regexp_extract_all(t, '[가-힣]+'),
- flatten(list_transform(list_filter(regexp_extract_all(t, '[가-힣]+'), lambda w: length(w) > 2), lambda w: list_transform(range(1, length(w)), lambda i: substr(w, cast(i as int), 2)))), regexp_extract_all(t, '[぀-ヿ㐀-鿿]{2}')])"""
+ flatten(list_transform(list_filter(regexp_extract_all(t, '[가-힣]+'), lambda w: length(w) > 2), lambda w: list_transform(range(1, length(w)), lambda i: substr(w, cast(i as int), 2)))), flatten(list_transform(regexp_extract_all(t, '[぀-ヿ㐀-鿿]+'), lambda w: CASE WHEN length(w) = 1 THEN [w] ELSE list_transform(range(1, length(w)), lambda i: substr(w, cast(i as int), 2)) END))])"""
 _POST = f"""d AS (SELECT doc_id, {_TERMS} AS ts FROM (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)),
 p AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(ts) AS dl, unnest(ts) AS term FROM d) GROUP BY ALL),
 q AS (SELECT doc_id AS qid, term, tf FROM p WHERE doc_id % 50 = 0)"""
@@ -44,8 +44,7 @@ def _terms_of(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 def search_bm25(spark, d):
     """Every fiftieth document as a query against all documents."""
     q, post = _terms_of(spark, d)
-    s = retrieval.bm25(q, post).withColumn("score", F.round("score", 9))
-    return ranking.top_k(s, 10).withColumn("score", F.round("score", 6))
+    return retrieval.bm25_top_k(q, post, 10).withColumn("score", F.round("score", 6))
 
 
 @_q(f"""WITH {_POST}, n AS (SELECT count(DISTINCT doc_id) AS n FROM p), i AS (SELECT term, ln((n + 1) / (count(*) + 1)) + 1 AS idf FROM p, n GROUP BY term, n),
@@ -55,8 +54,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DES
 SELECT qid, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10""")
 def search_tfidf(spark, d):
     q, post = _terms_of(spark, d)
-    s = retrieval.tfidf(q, post).withColumn("score", F.round("score", 9))
-    return ranking.top_k(s, 10).withColumn("score", F.round("score", 6))
+    return retrieval.tfidf_top_k(q, post, 10).withColumn("score", F.round("score", 6))
 
 
 _DENSE = """WITH s AS (SELECT a.vec_id AS qid, b.vec_id AS doc_id, list_cosine_similarity(cast(a.embedding AS double[]), cast(b.embedding AS double[])) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
@@ -74,12 +72,21 @@ def search_dense(spark, d):
     return _dense(spark, d, 10).withColumn("score", F.round("score", 6))
 
 
-@_q()
+_RUNS = "r AS (SELECT * FROM (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s) WHERE rank <= 1000)"
+_FUSED = f"""WITH {_POST}, st AS (SELECT count(*) AS n, avg(dl) AS a FROM (SELECT DISTINCT doc_id, dl FROM p)), df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+s AS (SELECT qid, p.doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * p.tf / (p.tf + 0.9 * (1 - 0.4 + 0.4 * dl / a))) AS score FROM q JOIN p USING (term) JOIN df USING (term), st WHERE qid <> p.doc_id GROUP BY ALL), {_RUNS},
+e AS (SELECT vec_id, cast(embedding AS double[]) AS v FROM embeddings), s2 AS (SELECT a.vec_id AS qid, b.vec_id AS doc_id, list_cosine_similarity(a.v, b.v) AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0), {_RUNS.replace('r AS', 'r2 AS').replace('FROM s)', 'FROM s2)')},
+f AS (SELECT qid, doc_id, sum(1.0::double / (60 + rank)) AS score FROM (SELECT * FROM r UNION ALL SELECT * FROM r2) GROUP BY ALL)
+SELECT * FROM (SELECT qid, doc_id, round(score, 9) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, doc_id) AS rank FROM f) WHERE rank <= 1000"""
+
+
+@_q(_FUSED)
 def search_fused(spark, d):
-    """Reciprocal rank fusion of the two sparse rankings; no SQL, its parts have theirs."""
+    """Reciprocal rank fusion of a sparse and a dense run, whole runs of 1,000 each; vectors and documents share their ids."""
     q, post = _terms_of(spark, d)
-    runs = [ranking.top_k(s.withColumn("score", F.round("score", 9)), 100).select("qid", "doc_id", "rank") for s in (retrieval.bm25(q, post), retrieval.tfidf(q, post))]
-    return ranking.rrf(runs, limit=100)
+    runs = [retrieval.bm25_top_k(q, post, 1000).select("qid", "doc_id", "rank"), _dense(spark, d, 1000).select("qid", "doc_id", "rank")]
+    both = ranking.rrf(runs, limit=None).withColumn("score", F.round("score", 12))
+    return ranking.top_k(both, 1000).withColumn("score", F.round("score", 9))
 
 
 @_q("SELECT doc_id FROM documents WHERE (contains(lower(text), 'gas inlet') OR contains(lower(text), '가스유입구')) AND regexp_matches(lower(text), '(^|[^a-z0-9])(chlor|염소)') AND NOT contains(lower(text), '질화갈륨') UNION SELECT doc_id FROM documents WHERE contains(lower(text), '가스유입구') AND contains(lower(text), '염소') AND NOT contains(lower(text), '질화갈륨') UNION SELECT doc_id FROM documents WHERE contains(lower(text), 'gas inlet') AND contains(lower(text), '염소') AND NOT contains(lower(text), '질화갈륨')")
