@@ -56,3 +56,11 @@ def graded_ndcg(run: DataFrame, qrel: DataFrame, k: int = 20) -> DataFrame:
     best = qrel.withColumn("pos", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("relevance"), "doc_id"))).where(F.col("pos") <= k)
     ideal = best.groupBy("qid").agg(F.sum(gain("relevance") / F.log2(F.col("pos") + 1.0)).alias("idcg"))
     return ideal.join(got, "qid", "left").select("qid", F.when(F.col("idcg") > 0, F.coalesce("dcg", F.lit(0.0)) / F.col("idcg")).otherwise(0.0).alias("ndcg_graded"))
+
+
+def precision(run: DataFrame, qrel: DataFrame, k: int = 10) -> DataFrame:
+    """(qid, precision_k, rr, list_gain): precision over min(k, length), reciprocal rank, and a gain that discounts a hit by its place among the hits."""
+    x = run.join(qrel.select("qid", "doc_id", F.lit(1).alias("rel")).distinct(), ["qid", "doc_id"], "left").fillna(0, ["rel"])
+    x = x.withColumn("pos", F.sum("rel").over(W.partitionBy("qid").orderBy("rank").rowsBetween(W.unboundedPreceding, 0)))
+    hit = F.col("rel") == 1
+    return x.groupBy("qid").agg(F.round(F.count_if(hit & (F.col("rank") <= k)) / F.least(F.lit(k), F.max("rank")), 9).alias(f"precision_{k}"), F.round(F.coalesce(1.0 / F.min(F.when(hit, F.col("rank"))), F.lit(0.0)), 9).alias("rr"), F.round(F.coalesce(F.sum(F.when(hit, 1.0 / F.log2(F.col("pos") + 1.0))), F.lit(0.0)), 9).alias("list_gain"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.plans import analysis, catalogue, ranking_queries, references
+from loomgraph.plans import analysis, catalogue, ranking_queries, references, report_queries
 
-_MODULES = [references, catalogue, analysis, ranking_queries]
+_MODULES = [references, catalogue, analysis, ranking_queries, report_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
