@@ -93,7 +93,7 @@ def classes(df: DataFrame, id_col: str, fields: str | list[str]) -> tuple[DataFr
     grouped = df.sparkSession.sql(
         """
         SELECT field_name, digits, look COLLATE UNICODE AS look_key, min(text_hash) AS class_hash, count(*) AS n_forms,
-               min(struct(length(regexp_replace(text, '[\\x00-\\x7f]', '')) AS odd, length(text) AS len, text)).text AS canonical
+               min(struct(length(regexp_replace(text, '[\\\\x00-\\\\x7f]', '')) AS odd, length(text) AS len, text)).text AS canonical
         FROM {forms} GROUP BY field_name, digits, look COLLATE UNICODE HAVING count(*) > 1""",
         forms=one,
     )
