@@ -216,4 +216,6 @@ def with_relations(body: str) -> str:
     """DuckDB statement: ``body`` with the relations it names (``r_<predicate>``) put before it."""
     used = [n for n in RELATIONS if re.search(rf"\br_{n}\b", body)]
     ctes = ",\n".join(f"r_{n} AS (" + " UNION ".join(r.duck() for r in RELATIONS[n]) + ")" for n in used)
+    if body.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body.removeprefix('WITH RECURSIVE ')}"
     return f"WITH {ctes}\n{body}"

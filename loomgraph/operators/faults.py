@@ -50,3 +50,39 @@ def signatures(t: DataFrame) -> DataFrame:
     into = t.select(F.col("o").alias("node"), F.xxhash64(F.lit("<"), "p", "s").alias("h"))
     both = out.unionByName(into).distinct()
     return both.groupBy("node").agg(F.sum(F.col("h").cast("decimal(38,0)")).cast("string").alias("a"), F.bit_xor("h").alias("x"), F.count(F.lit(1)).alias("n")).select("node", F.sha2(F.concat_ws("|", "a", "x", "n"), 256).alias("signature"))
+
+
+def leak(t: DataFrame, p: str, into: str, rate: float, seed: int = 0) -> DataFrame:
+    """Hit edges of ``p`` also stand under ``into``: an answer that leaks into what is asked from."""
+    return t.unionByName(t.where((F.col("p") == p) & _hit(rate, seed)).withColumn("p", F.lit(into))).distinct()
+
+
+def merge_synonyms(t: DataFrame, p: str, rate: float, seed: int = 0) -> DataFrame:
+    """Hit nodes are taken for the least other node with which they share an object of ``p``."""
+    e = t.where(F.col("p") == p).select("s", "o")
+    first = e.groupBy("o").agg(F.min("s").alias("new"))  # one row an object, so a hub costs nothing
+    m = e.where(F.pmod(F.xxhash64(F.lit(seed), "s"), F.lit(1_000_000)) < int(rate * 1_000_000)).join(first, "o").where("s <> new")
+    return merge_entities(t, m.groupBy(F.col("s").alias("old")).agg(F.min("new").alias("new")))
+
+
+def retype(t: DataFrame, old: str, new: str, rate: float, seed: int = 0) -> DataFrame:
+    """Hit nodes of one type get another."""
+    return t.withColumn("o", F.when((F.col("p") == "a") & (F.col("o") == old) & _hit(rate, seed), F.lit(new)).otherwise(F.col("o"))).distinct()
+
+
+def dangle(t: DataFrame, p: str, rate: float, seed: int = 0) -> DataFrame:
+    """Objects of hit edges are nodes that do not exist."""
+    return t.withColumn("o", F.when((F.col("p") == p) & _hit(rate, seed), F.concat(F.lit("gone/"), "o")).otherwise(F.col("o")))
+
+
+def repeat_nodes(t: DataFrame, p: str, rate: float, seed: int = 0) -> DataFrame:
+    """Subjects of hit edges stand twice, the second time under another id with all their edges."""
+    hit = t.where((F.col("p") == p) & _hit(rate, seed)).select("s").distinct()
+    return t.unionByName(t.join(hit, "s", "left_semi").withColumn("s", F.concat("s", F.lit("#2"))))
+
+
+def detection(runs: DataFrame) -> DataFrame:
+    """(gate, faults, detected, false_alarms, normal, kills) of (gate, run, is_fault, flagged): a gate that flags any normal change is switched off."""
+    f, g = F.col("is_fault"), F.col("flagged")
+    d = runs.groupBy("gate").agg(F.count_if(f).alias("faults"), F.count_if(f & g).alias("detected"), F.count_if(~f & g).alias("false_alarms"), F.count_if(~f).alias("normal"))
+    return d.withColumn("kills", F.col("false_alarms") > 0)

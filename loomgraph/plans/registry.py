@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.plans import analysis, catalogue, ranking_queries, references, report_queries
+from loomgraph.plans import analysis, catalogue, graph_queries, ranking_queries, references, report_queries
 
-_MODULES = [references, catalogue, analysis, ranking_queries, report_queries]
+_MODULES = [references, catalogue, analysis, ranking_queries, report_queries, graph_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
