@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from loomgraph.functions import text as T
 from loomgraph.model import graph, with_relations
 from loomgraph.operators import boolsearch, closure, constraints, faults, metrics, ranking, retrieval, statistics
-from loomgraph.session import materialize, shared_dir, table
+from loomgraph.session import materialize, scratch, table
 from loomgraph.streaming import windows
 
 QUERIES: dict = {}
@@ -262,10 +262,8 @@ def fault_deleted_edges(spark, d):
 
 @_q("SELECT date_trunc('day', ts)::timestamp AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_daily_counts(spark, d):
-    """A stream over the events table to its end: tumbling windows with a watermark, final states only."""
-    import uuid
-
-    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    """A stream over the events table to its end: tumbling windows in complete mode, so every window is kept and the watermark drops nothing."""
+    path = scratch(spark, "stream")
     events = table(spark, d, "events")
     s = windows.windowed_counts(windows.read_stream(spark, f"{d}/events.parquet*", events.schema), "ts", "event_type", late="3650 days")
     windows.run_batches_complete(s, path)
