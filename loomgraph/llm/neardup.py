@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from loomgraph.functions.keys import doc_key, has_value
 from loomgraph.operators.components import components
-from loomgraph.session import materialize
+from loomgraph.session import materialize, spread
 
 #: Characters of text, rows of cells and pairs that a task looks at together: bounds of memory, not of what is found.
 _CHUNK, _ROWS, _PAIRS = 500_000, 400_000, 2_000_000
@@ -69,8 +69,8 @@ def design(n_texts: int, threshold: float = 0.85, miss: float | None = None) ->
     hit = same**m + m * one * same ** (m - 1)
     segments = max(4, math.ceil(math.log(miss or 0.1 / max(2, n_texts)) / math.log(1 - hit)))
     q, n = (1 - j) / 2, m * segments
-    spread = (1 - j) * 1.5 - (1 - j) ** 2
-    return Design(threshold, 2 * m, segments, math.ceil((1 - j) * n + 6 * math.sqrt(n * spread)), math.ceil(CHECK * q + 6 * math.sqrt(CHECK * q * (1 - q))))
+    variance = (1 - j) * 1.5 - (1 - j) ** 2
+    return Design(threshold, 2 * m, segments, math.ceil((1 - j) * n + 6 * math.sqrt(n * variance)), math.ceil(CHECK * q + 6 * math.sqrt(CHECK * q * (1 - q))))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -220,7 +220,7 @@ def near_texts(texts: DataFrame, threshold: float = 0.85, between: bool = False)
     """
     texts = materialize(texts.withColumn("nid", F.monotonically_increasing_id()), "texts")  # written once, so the numbers stay
     d = design(texts.count(), threshold)
-    s = materialize(sketch(texts, d), "sketches")
+    s = materialize(sketch(spread(texts), d), "sketches")
     met = materialize(candidates(s, d, between), "candidates")
     # Only texts that met anything are moved on.
     part = materialize(s.join(met.select(F.explode(F.array("a", "b")).alias("nid")).distinct(), "nid", "left_semi").select("nid", "side", "segs", "words"), "met")

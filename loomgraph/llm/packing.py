@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from loomgraph.llm.tokens import DEFAULT, sized
-from loomgraph.session import materialize
+from loomgraph.session import materialize, spread
 
 #: Token-equivalents that opening a container costs besides its capacity.
 OPENING = 16
@@ -140,7 +140,7 @@ def containers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     capacity items, so gathering them is bounded.
     """
     top = max(capacities)
-    named = docs.where(F.length(text_col) > 0).select(F.struct(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("hash")).alias("tag"), F.col(text_col).alias("whole"))
+    named = spread(docs.select(id_col, text_col)).where(F.length(text_col) > 0).select(F.struct(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("hash")).alias("tag"), F.col(text_col).alias("whole"))
     items = materialize(sized(named, "tag", "whole", top, path).dropDuplicates(["id", "piece_no"]), "sizes")
     put = assign(items, capacities)
     if with_text:

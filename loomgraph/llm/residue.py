@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomgraph.operators.skew import join_unique
-from loomgraph.session import materialize
+from loomgraph.session import materialize, spread
 
 #: Marker syntaxes that only templates use; names in them are variable names from the start.
 SURE = (
@@ -267,7 +267,7 @@ def residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", suppo
     Null, empty and blank texts hold no residue. An id with several rows comes out
     once per reason. Counts that induce slots and page templates are over all rows.
     """
-    docs = df.where(F.length(F.trim(F.col(text_col))) > 0).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    docs = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).where(F.length(F.trim("text")) > 0)
     s = slots(docs, support).select("id", F.lit("slot").alias("reason"))
     p = pages(docs, support).select("id", F.lit("page").alias("reason"))
     f = filler(docs).select("id", F.lit("filler").alias("reason"))
