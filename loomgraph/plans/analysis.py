@@ -156,7 +156,7 @@ def closure_depths(spark, d):
 def constraint_violations(spark, d):
     g = graph(spark, d)
     props = [constraints.Property(g.predicate("filingDate"), "filingDate", 1, 1), constraints.Property(g.predicate("realizesProcess"), "realizesProcess", 1, 4), constraints.Property(g.predicate("claimCount"), "claimCount", at_most=20), constraints.Property(g.predicate("rejectedFor"), "rejectedFor", one_of=("§29", "§36"))]
-    v = constraints.check(constraints.Shape("PatentShape", g.match(("?s", "a", "Patent")), props))
+    v = constraints.check(constraints.Shape("PatentShape", g.match(("?s", "a:patent", "Patent")), props))
     return v.groupBy("path", "rule").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -232,9 +232,12 @@ def text_legal_paragraphs(spark, d):
     return table(spark, d, "patents_meta").select("patent_id", F.explode(T.legal_paragraphs("rejection_legal_bases")).alias("paragraph"))
 
 
-@_q()
+_EACH = r"list_filter(list_transform(string_split(regexp_replace(claims_full, '(^|\n)\s*([0-9]{1,3}\s*[.．]\s)', chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) > 0)"
+
+
+@_q(f"SELECT doc_id, i - 1 AS claim_no, list_distinct_in_order(x) AS parents, length(x) AS n_chars FROM c".replace("list_distinct_in_order(x)", "list_transform(list_filter(list_zip(p, range(1, len(p) + 1)), lambda z: list_position(p, z[1]) = z[2]), lambda z: z[1])").replace(" FROM c", f" FROM (SELECT *, list_transform(regexp_extract_all(x, '제\\s?([0-9]+)\\s?항', 1) || regexp_extract_all(lower(x), 'claims?\\s+([0-9]+)', 1) || regexp_extract_all(x, '請求項\\s?([0-9]+)', 1), lambda y: cast(y AS int)) AS p FROM (SELECT doc_id, unnest({_EACH}) AS x, unnest(range(1, len({_EACH}) + 1)) AS i FROM (SELECT DISTINCT doc_id, claims_full FROM claim_texts)))"))
 def text_claims(spark, d):
-    """Claims of each text with their parents; checked against brute force in the tests."""
+    """Claims of each text with their parents."""
     c = table(spark, d, "claim_texts").dropDuplicates(["doc_id", "claims_full"]).select("doc_id", F.posexplode(T.split_claims("claims_full")).alias("claim_no", "claim"))
     return c.select("doc_id", "claim_no", T.claim_parents("claim").alias("parents"), F.length("claim").alias("n_chars"))
 
@@ -244,10 +247,13 @@ def text_citation_parts(spark, d):
     return table(spark, d, "citations").select("citation_id", T.citation_parts("raw").alias("p")).select("citation_id", "p.*")
 
 
-@_q()
+_MERGED = ["realizesProcess", "concernsDevice", "assignedTo", "status"]
+
+
+@_q(with_relations("SELECT b.p, b.n AS n_before, c.n AS n_after FROM (SELECT p, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT s, '{p}' AS p, o FROM r_{p}" for p in _MERGED) + ") t GROUP BY p) b LEFT JOIN (WITH t AS (" + " UNION ALL ".join(f"SELECT s, '{p}' AS p, o FROM r_{p}" for p in _MERGED) + "), e AS (SELECT s AS node, '>' || p || '|' || o AS x FROM t UNION SELECT o, '<' || p || '|' || s FROM t), g AS (SELECT node, string_agg(x, chr(1) ORDER BY x) AS sig FROM e GROUP BY node), m AS (SELECT node AS old, min(node) OVER (PARTITION BY sig) AS new, count(*) OVER (PARTITION BY sig) AS n FROM g), a AS (SELECT DISTINCT coalesce(x.new, s) AS s, p, coalesce(y.new, o) AS o FROM t LEFT JOIN m x ON x.old = s AND x.n > 1 LEFT JOIN m y ON y.old = o AND y.n > 1) SELECT p, count(*) AS n FROM a GROUP BY p) c USING (p)"))
 def fault_merge_duplicates(spark, d):
     """Nodes of one signature merged into the least of them; triples before and after."""
-    t = materialize(graph(spark, d).triples(["realizesProcess", "concernsDevice", "assignedTo", "status"]), "triples")
+    t = materialize(graph(spark, d).triples(_MERGED), "triples")
     s = faults.signatures(t)
     m = s.join(s.groupBy("signature").agg(F.min("node").alias("new"), F.count(F.lit(1)).alias("n")).where("n > 1"), "signature").select(F.col("node").alias("old"), "new")
     after = faults.merge_entities(t, m)
