@@ -64,8 +64,8 @@ def _top_k_by_matrix(weights: DataFrame, queries: DataFrame, k: int, block: int)
 
     Queries are a stated set and are taken in blocks; a block's terms and weights
     are shared with every task. Documents are read where they lie: each batch of
-    them is one sparse product with the block, and only k rows a query and batch
-    leave a task, so no pair of a query and a document is ever shuffled. ``weights``
+    them is one sparse product with the block, and only k rows a query leave a
+    task, so no pair of a query and a document is ever shuffled. ``weights``
     must hold all terms of a document in one row: (doc_id, terms, ws).
     """
     kind = dict(weights.dtypes)["doc_id"]
@@ -95,7 +95,7 @@ def _top_k_by_matrix(weights: DataFrame, queries: DataFrame, k: int, block: int)
                     score = np.bincount(who[at_] * len(part) + doc[each], w[each] * wq[at_], len(ids) * len(part)).reshape(len(ids), len(part))
                     yield from _best(ids, part["doc_id"].to_numpy(), score, k, 0.0)
 
-        got = weights.select("doc_id", "terms", "ws").mapInPandas(run, f"qid {kind}, doc_id {kind}, score double")
+        got = weights.select("doc_id", "terms", "ws").mapInPandas(lambda batches, run=run: _keep_best(run(batches), k), f"qid {kind}, doc_id {kind}, score double")
         out = got if out is None else out.unionByName(got)
     return _ranked(out, k)
 
@@ -110,6 +110,32 @@ def _best(ids: np.ndarray, names: np.ndarray, score: np.ndarray, k: int, least:
     yield pd.DataFrame({"qid": ids[q], "doc_id": names[d], "score": s[q, d]})
 
 
+#: Rows of (qid, doc_id, score) that a task holds before it drops those beyond the best.
+_HELD = 1_000_000
+
+
+def _keep_best(parts: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
+    """The best ``k`` of each query over all of a task's ``parts``, ties at the edge kept, so no more leave it whatever it reads."""
+
+    def prune(rows: list[pd.DataFrame]) -> pd.DataFrame:
+        x = pd.concat(rows, ignore_index=True)
+        place = x.groupby("qid")["score"].rank(method="first", ascending=False)
+        edge = x[place == k].set_index("qid")["score"]
+        return x[x["score"] >= x["qid"].map(edge).fillna(-np.inf) - 1e-8]
+
+    held: list[pd.DataFrame] = []
+    n, most = 0, _HELD
+    for p in parts:
+        held.append(p)
+        n += len(p)
+        if n > most:
+            held = [prune(held)]
+            n = len(held[0])
+            most = max(_HELD, 2 * n)
+    if held:
+        yield prune(held)
+
+
 def _ranked(scored: DataFrame, k: int) -> DataFrame:
     scored = scored.withColumn("score", F.round("score", 9))
     return scored.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "doc_id")).cast("bigint")).where(F.col("rank") <= k)
@@ -186,7 +212,7 @@ def dense_top_k(queries: DataFrame, docs: DataFrame, k: int, block: int = BLOCK)
                 if len(ids) and len(b):
                     yield from _best(ids, b["doc_id"].to_numpy(), m @ unit(np.stack(b["vector"].to_numpy()).astype(np.float64)).T, k, -2.0)
 
-        got = d.mapInPandas(run, f"qid {kind}, doc_id {kind}, score double")
+        got = d.mapInPandas(lambda batches, run=run: _keep_best(run(batches), k), f"qid {kind}, doc_id {kind}, score double")
         out = got if out is None else out.unionByName(got)
     return out.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "doc_id")).cast("bigint")).where(F.col("rank") <= k)
 
