@@ -31,10 +31,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from loomgraph.functions.keys import doc_key, has_value
 from loomgraph.operators.components import components
-from loomgraph.session import materialize, spread
+from loomgraph.session import materialize, release, spread
 
 #: Characters of text, rows of cells and pairs that a task looks at together: bounds of memory, not of what is found.
 _CHUNK, _ROWS, _PAIRS = 500_000, 400_000, 2_000_000
+#: Rows of cells that lie in the shuffle at one time, more are made segment by segment (8 at least); texts that a task holds to verify.
+_CELLS, _HELD = 5_000_000, 20_000
 #: Bits of the check word.
 CHECK = 128
 
@@ -120,7 +122,7 @@ def fingerprints(texts: list[str], d: Design) -> tuple[np.ndarray, np.ndarray, l
 
 
 def sketch(texts: DataFrame, d: Design) -> DataFrame:
-    """(nid, side, segs, check, words) of (nid, text, side); whole texts, in Arrow batches."""
+    """(nid, side, segs, check, bits, words) of (nid, text, side); whole texts, in Arrow batches. ``bits`` are the segments side by side."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -128,17 +130,18 @@ def sketch(texts: DataFrame, d: Design) -> DataFrame:
             size = b["text"].str.len().cumsum() // _CHUNK  # bounds the memory of long texts
             for _, part in b.groupby(size, sort=False):
                 segs, check, words = fingerprints(part["text"].tolist(), d)
-                yield pd.DataFrame({"nid": part["nid"], "side": part["side"], "segs": list(segs), "check": list(check), "words": words})
+                flat = ((segs[:, :, None] >> np.arange(d.width)) & 1).astype(np.uint8).reshape(len(segs), -1)
+                yield pd.DataFrame({"nid": part["nid"], "side": part["side"], "segs": list(segs), "check": list(check), "bits": [x.tobytes() for x in np.packbits(flat, axis=1)], "words": words})
 
-    return texts.select("nid", "side", "text").mapInPandas(run, "nid bigint, side int, segs array<bigint>, check array<bigint>, words array<bigint>")
+    return texts.select("nid", "side", "text").mapInPandas(run, "nid bigint, side int, segs array<bigint>, check array<bigint>, bits binary, words array<bigint>")
 
 
-def _cells(s: DataFrame, d: Design) -> DataFrame:
-    """(cell, other, nid, side, n, c0, c1): each segment twice, under either half; even numbers of place are first halves."""
+def _cells(s: DataFrame, d: Design, first: int, many: int) -> DataFrame:
+    """(cell, other, nid, side, n, c0, c1): each of ``many`` segments from ``first`` on twice, under either half; even numbers of place are first halves."""
     h = d.width // 2
     low, high = F.expr(f"code & {(1 << h) - 1}L"), F.expr(f"shiftright(code, {h})")
-    place = lambda half, value: F.expr(f"shiftleft(cast(2 * k + {half} as bigint), {h})").bitwiseOR(value)
-    code = s.select("nid", "side", F.size("words").alias("n"), F.col("check")[0].alias("c0"), F.col("check")[1].alias("c1"), F.posexplode("segs").alias("k", "code"))
+    place = lambda half, value: F.expr(f"shiftleft(cast(2 * (k + {first}) + {half} as bigint), {h})").bitwiseOR(value)
+    code = s.select("nid", "side", F.size("words").alias("n"), F.col("check")[0].alias("c0"), F.col("check")[1].alias("c1"), F.posexplode(F.slice("segs", first + 1, many)).alias("k", "code"))
     both = F.explode(F.array(F.struct(place(0, low).alias("cell"), high.alias("other")), F.struct(place(1, high).alias("cell"), low.alias("other"))))
     return code.select("nid", "side", "n", "c0", "c1", both.alias("x")).select("x.cell", "x.other", "nid", "side", "n", "c0", "c1")
 
@@ -183,8 +186,11 @@ def _meetings(rows: pd.DataFrame, d: Design, between: bool) -> Iterator[pd.DataF
             done = stop
 
 
-def candidates(s: DataFrame, d: Design, between: bool) -> DataFrame:
-    """(a, b) once each, a < b; rows of one cell lie in one task, sorted, and are looked at cell by cell."""
+def candidates(s: DataFrame, d: Design, between: bool, n_texts: int = 0) -> DataFrame:
+    """(a, b) once each, a < b; rows of one cell lie in one task, sorted, and are looked at cell by cell.
+
+    Of many texts a few segments are taken at a time, so that the shuffle holds the cells of these only.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -202,12 +208,70 @@ def candidates(s: DataFrame, d: Design, between: bool) -> DataFrame:
         if size:
             yield from _meetings(pd.concat(held, ignore_index=True), d, between)
 
-    rows = _cells(s, d).repartition("cell").sortWithinPartitions("cell", "other")
-    return rows.mapInPandas(run, "a bigint, b bigint").distinct()
-
-
-def _distance(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    many = min(d.segments, max(8, _CELLS // (2 * max(1, n_texts))))
+    parts = []
+    for first in range(0, d.segments, many):
+        rows = _cells(s, d, first, many).repartition("cell").sortWithinPartitions("cell", "other")
+        met = rows.mapInPandas(run, "a bigint, b bigint").distinct()
+        parts.append(materialize(met, "met"))
+    if len(parts) == 1:
+        return parts[0]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    out = materialize(out.distinct(), "candidates")
+    release(*parts)
+    return out
+
+
+def _together(met: DataFrame, s: DataFrame, columns: list[str], look, schema: str) -> DataFrame:
+    """What ``look`` gives of pairs (a, b) with ``columns`` of their texts.
+
+    Pairs that hang together mostly have one least neighbour; they are looked at in
+    one place, to which each of their texts is sent once, however many pairs it is in.
+    """
+    both = met.select("a", "b").unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    low = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")), "low")
+    places = max(int(s.sparkSession.conf.get("spark.sql.shuffle.partitions")), low.count() // _HELD + 1)
+    put = met.join(low.toDF("a", "la"), "a").join(low.toDF("b", "lb"), "b").select("a", "b", F.pmod(F.xxhash64(F.least("la", "lb")), F.lit(places)).alias("place"))
+    put = materialize(put, "places")
+    need = put.select(F.col("place").alias("at"), F.explode(F.array("a", "b")).alias("nid")).distinct()
+    texts = need.join(s.select("nid", *columns), "nid")
+    out = materialize(put.groupBy("place").cogroup(texts.groupBy("at")).applyInPandas(look, schema), "looked")
+    release(low, put)
+    return out
+
+
+def _at(pairs: pd.DataFrame, held: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    """``held`` by nid, and where the ends of ``pairs`` stand in it."""
+    held = held.sort_values("nid", ignore_index=True)
+    nid = held["nid"].to_numpy()
+    return held, np.searchsorted(nid, pairs["a"].to_numpy()), np.searchsorted(nid, pairs["b"].to_numpy())
+
+
+def _verified(met: DataFrame, s: DataFrame, d: Design) -> DataFrame:
+    """(a, b, side_a, side_b, overlap) of the pairs of ``met`` within the complete distance, then the exact overlap; only what is within the distance has its words sent."""
+
+    def distance(pairs: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        held, x, y = _at(pairs, held)
+        bits = np.frombuffer(b"".join(held["bits"]), np.uint8).reshape(len(held), -1)
+        near = [np.bitwise_count(bits[x[i : i + _ROWS]] ^ bits[y[i : i + _ROWS]]).sum(axis=1, dtype=np.int64) <= d.reach for i in range(0, len(x), _ROWS)]
+        return pairs.loc[np.concatenate(near) if near else np.zeros(0, bool), ["a", "b"]]
+
+    def overlap(pairs: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        held, x, y = _at(pairs, held)
+        nid, side, words = held["nid"].to_numpy(), held["side"].to_numpy(), held["words"].to_numpy()
+        size = held["words"].str.len().to_numpy(np.int64)
+        shared = np.array([len(np.intersect1d(words[i], words[j], assume_unique=True)) for i, j in zip(x, y, strict=True)], np.int64)
+        share = shared / np.maximum(size[x], size[y])
+        keep = share >= d.threshold
+        x, y = x[keep], y[keep]
+        return pd.DataFrame({"a": nid[x], "b": nid[y], "side_a": side[x], "side_b": side[y], "overlap": share[keep]})
+
+    close = _together(met, s, ["bits"], distance, "a bigint, b bigint")
+    near = _together(close, s, ["side", "words"], overlap, "a bigint, b bigint, side_a int, side_b int, overlap double")
+    release(close)
+    return near
 
 
 def near_texts(texts: DataFrame, threshold: float = 0.85, between: bool = False) -> DataFrame:
@@ -219,15 +283,14 @@ def near_texts(texts: DataFrame, threshold: float = 0.85, between: bool = False)
     of the words of the longer text that stand in the other too.
     """
     texts = materialize(texts.withColumn("nid", F.monotonically_increasing_id()), "texts")  # written once, so the numbers stay
-    d = design(texts.count(), threshold)
+    n = texts.count()
+    d = design(n, threshold)
     s = materialize(sketch(spread(texts), d), "sketches")
-    met = materialize(candidates(s, d, between), "candidates")
-    # Only texts that met anything are moved on.
-    part = materialize(s.join(met.select(F.explode(F.array("a", "b")).alias("nid")).distinct(), "nid", "left_semi").select("nid", "side", "segs", "words"), "met")
-    both = met.join(part.toDF("a", "side_a", "segs_a", "words_a"), "a").join(part.toDF("b", "side_b", "segs_b", "words_b"), "b")
-    share = F.size(F.array_intersect("words_a", "words_b")) / F.greatest(F.size("words_a"), F.size("words_b"))
-    near = both.where(_distance("segs_a", "segs_b") <= d.reach).select("a", "b", "side_a", "side_b", share.alias("overlap")).where(F.col("overlap") >= threshold)
-    names = texts.select("nid", "text_id")
+    names = materialize(texts.select("nid", "text_id"), "names")
+    release(texts)  # each stage goes once the next one is written
+    met = candidates(s, d, between, n)
+    near = _verified(met, s, d)
+    release(s, met)
     named = near.join(names.toDF("a", "text_a"), "a").join(names.toDF("b", "text_b"), "b")
     if not between:
         return named.select(F.least("text_a", "text_b").alias("text_a"), F.greatest("text_a", "text_b").alias("text_b"), "overlap")
