@@ -80,7 +80,7 @@ def _top_k_by_matrix(weights: DataFrame, queries: DataFrame, k: int, block: int)
         starts = np.searchsorted(cols[order], np.arange(len(vocab) + 1))
         shared = weights.sparkSession.sparkContext.broadcast((ids, vocab, starts, at[order], rows["wq"].to_numpy(float)[order] if len(rows) else np.zeros(0)))
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pd.DataFrame], edge: np.ndarray, shared=shared) -> Iterator[tuple]:
             ids, vocab, starts, who, wq = shared.value
             for b in batches:
                 for i in range(0, len(b) if len(ids) else 0, _DOCS):
@@ -93,47 +93,61 @@ def _top_k_by_matrix(weights: DataFrame, queries: DataFrame, k: int, block: int)
                     each = np.repeat(np.arange(len(code)), n)
                     at_ = starts[code][each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
                     score = np.bincount(who[at_] * len(part) + doc[each], w[each] * wq[at_], len(ids) * len(part)).reshape(len(ids), len(part))
-                    yield from _best(ids, part["doc_id"].to_numpy(), score, k, 0.0)
+                    yield from _best(ids, part["doc_id"].to_numpy(), score, k, 0.0, edge)
 
-        got = weights.select("doc_id", "terms", "ws").mapInPandas(lambda batches, run=run: _keep_best(run(batches), k), f"qid {kind}, doc_id {kind}, score double")
+        def best(batches: Iterator[pd.DataFrame], run=run, shared=shared) -> Iterator[pd.DataFrame]:
+            ids = shared.value[0]
+            edge = np.full(len(ids), -np.inf)
+            return _keep_best(ids, run(batches, edge), k, edge)
+
+        got = weights.select("doc_id", "terms", "ws").mapInPandas(best, f"qid {kind}, doc_id {kind}, score double")
         out = got if out is None else out.unionByName(got)
     return _ranked(out, k)
 
 
-def _best(ids: np.ndarray, names: np.ndarray, score: np.ndarray, k: int, least: float) -> Iterator[pd.DataFrame]:
-    """(qid, doc_id, score) of each query's best ``k`` of a batch above ``least``, ties at the edge all kept."""
+def _best(ids: np.ndarray, names: np.ndarray, score: np.ndarray, k: int, least: float, edge: np.ndarray) -> Iterator[tuple]:
+    """(places of queries, doc_ids, scores) of each query's best ``k`` of a batch above ``least`` and not below ``edge``, ties at the edge all kept."""
     s = np.where(names[None, :] == ids[:, None], -np.inf, score)
-    kk = min(k, s.shape[1])
-    kth = np.partition(s, -kk, axis=1)[:, -kk]
+    if k < s.shape[1] and not np.isfinite(edge).all():
+        low = np.maximum(edge, np.partition(s, -k, axis=1)[:, -k])
+    else:
+        low = edge
     # Scores are settled to nine places before ties are broken, so the edge is kept with room for that.
-    q, d = np.nonzero((s >= kth[:, None] - 1e-8) & (s > least))
-    yield pd.DataFrame({"qid": ids[q], "doc_id": names[d], "score": s[q, d]})
+    q, d = np.nonzero((s >= low[:, None] - 1e-8) & (s > least))
+    yield q, names[d], s[q, d]
 
 
 #: Rows of (qid, doc_id, score) that a task holds before it drops those beyond the best.
 _HELD = 1_000_000
 
 
-def _keep_best(parts: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
-    """The best ``k`` of each query over all of a task's ``parts``, ties at the edge kept, so no more leave it whatever it reads."""
+def _keep_best(ids: np.ndarray, parts: Iterator[tuple], k: int, edge: np.ndarray) -> Iterator[pd.DataFrame]:
+    """(qid, doc_id, score) of the best ``k`` of each query over all of a task's ``parts``, ties at the edge kept, so no more leave it whatever it reads.
+
+    ``edge`` holds the worst of the best k so far and rises as parts are pruned, so that later parts leave out at once what is below it.
+    """
 
-    def prune(rows: list[pd.DataFrame]) -> pd.DataFrame:
-        x = pd.concat(rows, ignore_index=True)
-        place = x.groupby("qid")["score"].rank(method="first", ascending=False)
-        edge = x[place == k].set_index("qid")["score"]
-        return x[x["score"] >= x["qid"].map(edge).fillna(-np.inf) - 1e-8]
+    def prune(rows: list[tuple]) -> tuple:
+        q, d, s = (np.concatenate(x) for x in zip(*rows, strict=True))
+        by = np.lexsort((-s, q))
+        q, d, s = q[by], d[by], s[by]
+        full = np.arange(len(q)) - np.searchsorted(q, q) == k - 1
+        edge[q[full]] = s[full]
+        keep = s >= edge[q] - 1e-8
+        return q[keep], d[keep], s[keep]
 
-    held: list[pd.DataFrame] = []
+    held: list[tuple] = []
     n, most = 0, _HELD
     for p in parts:
         held.append(p)
-        n += len(p)
+        n += len(p[0])
         if n > most:
             held = [prune(held)]
-            n = len(held[0])
+            n = len(held[0][0])
             most = max(_HELD, 2 * n)
     if held:
-        yield prune(held)
+        q, d, s = prune(held)
+        yield pd.DataFrame({"qid": ids[q], "doc_id": d, "score": s})
 
 
 def _ranked(scored: DataFrame, k: int) -> DataFrame:
@@ -206,13 +220,18 @@ def dense_top_k(queries: DataFrame, docs: DataFrame, k: int, block: int = BLOCK)
         rows = [(r.qid, r.vector) for r in part.collect()]  # about ``block`` stated queries
         shared = queries.sparkSession.sparkContext.broadcast((np.array([x for x, _ in rows]), unit(np.array([v for _, v in rows], dtype=np.float64)) if rows else np.zeros((0, 1))))
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pd.DataFrame], edge: np.ndarray, shared=shared) -> Iterator[tuple]:
             ids, m = shared.value
             for b in batches:
                 if len(ids) and len(b):
-                    yield from _best(ids, b["doc_id"].to_numpy(), m @ unit(np.stack(b["vector"].to_numpy()).astype(np.float64)).T, k, -2.0)
+                    yield from _best(ids, b["doc_id"].to_numpy(), m @ unit(np.stack(b["vector"].to_numpy()).astype(np.float64)).T, k, -2.0, edge)
+
+        def best(batches: Iterator[pd.DataFrame], run=run, shared=shared) -> Iterator[pd.DataFrame]:
+            ids = shared.value[0]
+            edge = np.full(len(ids), -np.inf)
+            return _keep_best(ids, run(batches, edge), k, edge)
 
-        got = d.mapInPandas(lambda batches, run=run: _keep_best(run(batches), k), f"qid {kind}, doc_id {kind}, score double")
+        got = d.mapInPandas(best, f"qid {kind}, doc_id {kind}, score double")
         out = got if out is None else out.unionByName(got)
     return out.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "doc_id")).cast("bigint")).where(F.col("rank") <= k)
 
