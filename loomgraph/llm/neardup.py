@@ -37,6 +37,8 @@ from loomgraph.session import materialize, release, spread
 _CHUNK, _ROWS, _PAIRS = 500_000, 400_000, 2_000_000
 #: Rows of cells that lie in the shuffle at one time, more are made segment by segment (8 at least); texts that a task holds to verify.
 _CELLS, _HELD = 5_000_000, 20_000
+#: Texts that lie in the shuffle at one time, of more a quarter at least.
+_TEXTS = 250_000
 #: Bits of the check word.
 CHECK = 128
 
@@ -122,7 +124,8 @@ def fingerprints(texts: list[str], d: Design) -> tuple[np.ndarray, np.ndarray, l
 
 
 def sketch(texts: DataFrame, d: Design) -> DataFrame:
-    """(nid, side, segs, check, bits, words) of (nid, text, side); whole texts, in Arrow batches. ``bits`` are the segments side by side."""
+    """(nid, side, segs, check, words) of (nid, text, side); whole texts, in Arrow batches. Segments of at most 31 bits take four bytes each."""
+    small = d.width < 32
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -130,16 +133,15 @@ def sketch(texts: DataFrame, d: Design) -> DataFrame:
             size = b["text"].str.len().cumsum() // _CHUNK  # bounds the memory of long texts
             for _, part in b.groupby(size, sort=False):
                 segs, check, words = fingerprints(part["text"].tolist(), d)
-                flat = ((segs[:, :, None] >> np.arange(d.width)) & 1).astype(np.uint8).reshape(len(segs), -1)
-                yield pd.DataFrame({"nid": part["nid"], "side": part["side"], "segs": list(segs), "check": list(check), "bits": [x.tobytes() for x in np.packbits(flat, axis=1)], "words": words})
+                yield pd.DataFrame({"nid": part["nid"], "side": part["side"], "segs": list(segs.astype(np.int32) if small else segs), "check": list(check), "words": words})
 
-    return texts.select("nid", "side", "text").mapInPandas(run, "nid bigint, side int, segs array<bigint>, check array<bigint>, bits binary, words array<bigint>")
+    return texts.select("nid", "side", "text").mapInPandas(run, f"nid bigint, side int, segs array<{'int' if small else 'bigint'}>, check array<bigint>, words array<bigint>")
 
 
 def _cells(s: DataFrame, d: Design, first: int, many: int) -> DataFrame:
     """(cell, other, nid, side, n, c0, c1): each of ``many`` segments from ``first`` on twice, under either half; even numbers of place are first halves."""
     h = d.width // 2
-    low, high = F.expr(f"code & {(1 << h) - 1}L"), F.expr(f"shiftright(code, {h})")
+    low, high = F.expr(f"code & {(1 << h) - 1}L"), F.expr(f"shiftright(cast(code as bigint), {h})")
     place = lambda half, value: F.expr(f"shiftleft(cast(2 * (k + {first}) + {half} as bigint), {h})").bitwiseOR(value)
     code = s.select("nid", "side", F.size("words").alias("n"), F.col("check")[0].alias("c0"), F.col("check")[1].alias("c1"), F.posexplode(F.slice("segs", first + 1, many)).alias("k", "code"))
     both = F.explode(F.array(F.struct(place(0, low).alias("cell"), high.alias("other")), F.struct(place(1, high).alias("cell"), low.alias("other"))))
@@ -216,10 +218,7 @@ def candidates(s: DataFrame, d: Design, between: bool, n_texts: int = 0) -> Data
         parts.append(materialize(met, "met"))
     if len(parts) == 1:
         return parts[0]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    out = materialize(out.distinct(), "candidates")
+    out = materialize(_all(parts).distinct(), "candidates")
     release(*parts)
     return out
 
@@ -254,8 +253,9 @@ def _verified(met: DataFrame, s: DataFrame, d: Design) -> DataFrame:
 
     def distance(pairs: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         held, x, y = _at(pairs, held)
-        bits = np.frombuffer(b"".join(held["bits"]), np.uint8).reshape(len(held), -1)
-        near = [np.bitwise_count(bits[x[i : i + _ROWS]] ^ bits[y[i : i + _ROWS]]).sum(axis=1, dtype=np.int64) <= d.reach for i in range(0, len(x), _ROWS)]
+        segs = np.stack(held["segs"].to_numpy()) if len(held) else np.zeros((0, d.segments), np.int64)
+        step = max(1, 16 * _ROWS // d.segments)  # segments compared at once
+        near = [np.bitwise_count(segs[x[i : i + step]] ^ segs[y[i : i + step]]).sum(axis=1, dtype=np.int64) <= d.reach for i in range(0, len(x), step)]
         return pairs.loc[np.concatenate(near) if near else np.zeros(0, bool), ["a", "b"]]
 
     def overlap(pairs: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
@@ -268,7 +268,7 @@ def _verified(met: DataFrame, s: DataFrame, d: Design) -> DataFrame:
         x, y = x[keep], y[keep]
         return pd.DataFrame({"a": nid[x], "b": nid[y], "side_a": side[x], "side_b": side[y], "overlap": share[keep]})
 
-    close = _together(met, s, ["bits"], distance, "a bigint, b bigint")
+    close = _together(met, s, ["segs"], distance, "a bigint, b bigint")
     near = _together(close, s, ["side", "words"], overlap, "a bigint, b bigint, side_a int, side_b int, overlap double")
     release(close)
     return near
@@ -282,15 +282,39 @@ def near_texts(texts: DataFrame, threshold: float = 0.85, between: bool = False)
     for (text_a has bit 1), else all pairs (text_a < text_b). overlap is the share
     of the words of the longer text that stand in the other too.
     """
-    texts = materialize(texts.withColumn("nid", F.monotonically_increasing_id()), "texts")  # written once, so the numbers stay
-    n = texts.count()
-    d = design(n, threshold)
-    s = materialize(sketch(spread(texts), d), "sketches")
-    names = materialize(texts.select("nid", "text_id"), "names")
-    release(texts)  # each stage goes once the next one is written
+    return near_sketches(*sketches(texts, threshold), between)
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def sketches(texts: DataFrame, threshold: float = 0.85, **notes: Column) -> tuple[Design, int, list[DataFrame], list[DataFrame]]:
+    """(design, number of texts, sketches, names) of ``texts`` as of ``near_texts``; names (nid, text_id, side) and ``notes`` are told from each text while it is there.
+
+    Whole texts are the largest part, so of many a quarter is taken at a time, told by the hash of text_id: that much of them lies in a shuffle or a stage.
+    """
+    n = texts.select("text_id").count()
+    d, slices = design(n, threshold), min(4, n // _TEXTS + 1)
+    held, names = [], []
+    for i in range(slices):
+        part = texts if slices == 1 else texts.where(F.pmod(F.xxhash64("text_id"), F.lit(slices)) == i)
+        part = materialize(part.withColumn("nid", F.monotonically_increasing_id() * slices + i), "texts")  # written once, so the numbers stay
+        held.append(materialize(sketch(spread(part), d), "sketches"))
+        names.append(materialize(part.select("nid", "text_id", "side", *(c.alias(k) for k, c in notes.items())), "names"))
+        release(part)  # each stage goes once the next one is written
+    return d, n, held, names
+
+
+def near_sketches(d: Design, n: int, held: list[DataFrame], named: list[DataFrame], between: bool = False) -> DataFrame:
+    """What ``near_texts`` gives of the texts of ``sketches``, whose stages of sketches go."""
+    s, names = _all(held), _all(named).select("nid", "text_id")
     met = candidates(s, d, between, n)
     near = _verified(met, s, d)
-    release(s, met)
+    release(*held, met)
     named = near.join(names.toDF("a", "text_a"), "a").join(names.toDF("b", "text_b"), "b")
     if not between:
         return named.select(F.least("text_a", "text_b").alias("text_a"), F.greatest("text_a", "text_b").alias("text_b"), "overlap")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomgraph.functions.keys import has_value
-from loomgraph.llm.neardup import distinct_texts, near_texts
+from loomgraph.llm.neardup import distinct_texts, near_sketches, sketches
 from loomgraph.session import materialize
 
 #: The splits that count.
@@ -38,13 +38,17 @@ def _linked(docs: DataFrame, splits: DataFrame, fields: list[str], threshold: fl
     side = s.groupBy("doc_id").agg(F.bit_or(F.when(F.col("split") == TRAIN, 1).otherwise(2)).alias("side"))
     keyed = docs.select("doc_id", *fields).join(side, "doc_id")
     rows, texts = distinct_texts(keyed, "doc_id", fields, F.col("side"))
-    # A text of the one side and its equal on the other are one text, so the hash join is over texts with their sides.
-    hashed = texts.withColumn("canon", canonical_hash("text")).where("canon is not null")
+    # A text of the one side and its equal on the other are one text, so the hash join is over texts with their sides; the hash is told while the text is there.
+    d, n, held, named = sketches(texts, threshold, canon=F.unhex(canonical_hash("text")))
+    hashed = named[0]
+    for x in named[1:]:
+        hashed = hashed.unionByName(x)
+    hashed = hashed.where("canon is not null")
     left = hashed.where("side & 1 > 0").select("canon", F.col("text_id").alias("text_a"))
     right = hashed.where("side & 2 > 0").select("canon", F.col("text_id").alias("text_b"))
     same = left.join(right, "canon").select("text_a", "text_b", F.lit("same").alias("how"), F.lit(1.0).alias("overlap"))
-    near = near_texts(texts, threshold, between=True).select("text_a", "text_b", F.lit("near").alias("how"), "overlap")
-    return rows.distinct(), same.unionByName(near).groupBy("text_a", "text_b").agg(F.max("how").alias("how"), F.min("overlap").alias("overlap"))
+    near = near_sketches(d, n, held, named, between=True).select("text_a", "text_b", F.lit("near").alias("how"), "overlap")
+    return rows.repartition("text_id").distinct(), same.unionByName(near).groupBy("text_a", "text_b").agg(F.max("how").alias("how"), F.min("overlap").alias("overlap"))
 
 
 def cross_split(docs: DataFrame, splits: DataFrame, fields: list[str], threshold: float = 0.85) -> DataFrame:
