@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from loomgraph.functions import text as T
 from loomgraph.model import graph, with_relations
-from loomgraph.operators import boolsearch, closure, constraints, faults, metrics, ranking, retrieval, statistics
-from loomgraph.session import materialize, scratch, table
+from loomgraph.operators import boolsearch, closure, constraints, faults, metrics, pools, ranking, retrieval, statistics
+from loomgraph.session import materialize, release, scratch, spread, table
 from loomgraph.streaming import windows
 
 QUERIES: dict = {}
@@ -80,12 +80,29 @@ f AS (SELECT qid, doc_id, sum(1.0::double / (60 + rank)) AS score FROM (SELECT *
 SELECT * FROM (SELECT qid, doc_id, round(score, 9) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, doc_id) AS rank FROM f) WHERE rank <= 1000"""
 
 
+def _one_row(spark: SparkSession, d: str) -> bool:
+    """Whether each document is one row with an id; else pools are made of joined postings."""
+    n, ids = table(spark, d, "documents").agg(F.count(F.lit(1)), F.countDistinct("doc_id")).first()
+    return n == ids
+
+
+def _sparse(spark: SparkSession, d: str, k: int) -> DataFrame:
+    """(qid, doc_id, score) with the best ``k`` of every fiftieth document, and few others."""
+    if not _one_row(spark, d):
+        return retrieval.bm25_top_k(*_terms_of(spark, d), k).select("qid", "doc_id", "score")
+    tok = materialize(pools.tokens(spread(table(spark, d, "documents").select("doc_id", "text")), {}), "tokens")
+    pool, _ = pools.pools(tok, "doc_id % 50 = 0", k, {})
+    release(tok)
+    return pool.withColumn("score", F.round("score", 9))
+
+
 @_q(_FUSED)
 def search_fused(spark, d):
-    """Reciprocal rank fusion of a sparse and a dense run, whole runs of 1,000 each; vectors and documents share their ids."""
-    q, post = _terms_of(spark, d)
-    runs = [retrieval.bm25_top_k(q, post, 1000).select("qid", "doc_id", "rank"), _dense(spark, d, 1000).select("qid", "doc_id", "rank")]
-    both = ranking.rrf(runs, limit=None).withColumn("score", F.round("score", 12))
+    """Reciprocal rank fusion of a sparse and a dense run, whole runs of 1,000 each; vectors and documents share their ids. Both are ranked and fused where a query's rows lie."""
+    runs = [_sparse(spark, d, 1000).withColumn("arm", F.lit(0)), _dense(spark, d, 1000).select("qid", "doc_id", (-F.col("rank")).cast("double").alias("score"), F.lit(1).alias("arm"))]
+    rows = runs[0].unionByName(runs[1]).repartition("qid")
+    run = rows.withColumn("rank", F.row_number().over(W.partitionBy("qid", "arm").orderBy(F.desc("score"), "doc_id"))).where("rank <= 1000")
+    both = ranking.rrf([run], limit=None).withColumn("score", F.round("score", 12))
     return ranking.top_k(both, 1000).withColumn("score", F.round("score", 9))
 
 
